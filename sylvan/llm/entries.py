@@ -6,7 +6,10 @@ import importlib
 
 _QUERIES = {
     "op1_suffix_dedup": "suffix",
+    "op2_jaccard_join": "jaccard",
     "op4_exact_dedup": "exact",
+    "op5_fingerprints": "fingerprint",
+    "op8_toxicity": "toxicity",
 }
 
 
