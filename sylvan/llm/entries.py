@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_jaccard_join": "jaccard",
     "op4_exact_dedup": "exact",
     "op5_fingerprints": "fingerprint",
+    "op6_brown_lm": "brown",
     "op8_toxicity": "toxicity",
 }
 
