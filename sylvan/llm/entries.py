@@ -11,6 +11,7 @@ _QUERIES = {
     "op5_fingerprints": "fingerprint",
     "op6_brown_lm": "brown",
     "op8_toxicity": "toxicity",
+    "op9_retrieval_packing": "packing",
 }
 
 
