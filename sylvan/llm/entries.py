@@ -7,6 +7,7 @@ import importlib
 _QUERIES = {
     "op1_suffix_dedup": "suffix",
     "op2_jaccard_join": "jaccard",
+    "op3_warc": "warc",
     "op4_exact_dedup": "exact",
     "op5_fingerprints": "fingerprint",
     "op6_brown_lm": "brown",
@@ -21,6 +22,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact
+    from . import exact, warc
 
-    return {"op4_exact_dedup": exact.SQL}
+    return {"op3_warc": warc.SQL, "op4_exact_dedup": exact.SQL}
