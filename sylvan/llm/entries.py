@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_exact_dedup": "exact",
     "op5_fingerprints": "fingerprint",
     "op6_brown_lm": "brown",
+    "op7_line_dedup": "lines",
     "op8_toxicity": "toxicity",
     "op9_retrieval_packing": "packing",
 }

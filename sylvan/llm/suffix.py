@@ -504,7 +504,13 @@ def _find(n_groups: int):
     return run
 
 
-def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_characters: bool):
+def _by_row(ids: np.ndarray, gone: pa.Table, buf: np.ndarray, off: np.ndarray):
+    """Row, start in it and length of each removed run."""
+    at, n = join_blobs(gone["at"], np.int64), join_blobs(gone["n"], np.int32)
+    return np.searchsorted(ids, join_blobs(gone["id"], np.int64)) + (at >> _ROW), at & (2**_ROW - 1), n
+
+
+def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_characters: bool, locate=_by_row):
     """Joins the removed runs of a group's documents and applies them."""
 
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
@@ -514,9 +520,8 @@ def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_ch
         buf, off = column_bytes(docs[text])
         step = np.zeros(len(buf) + 1, np.int32)
         if gone.num_rows:
-            at, n = join_blobs(gone["at"], np.int64), join_blobs(gone["n"], np.int32)
-            which = np.searchsorted(ids, join_blobs(gone["id"], np.int64)) + (at >> _ROW)
-            begin = off[which] + (at & (2**_ROW - 1))
+            which, begin, n = locate(ids, gone, buf, off)
+            begin = off[which] + begin
             np.add.at(step, begin, 1)
             np.add.at(step, begin + n, -1)
         removed = np.cumsum(step[:-1]) > 0
@@ -537,6 +542,11 @@ def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_ch
         if "kept_sha256" in names:
             view = memoryview(np.ascontiguousarray(left))
             columns["kept_sha256"] = pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+        if "spans" in names:
+            first, last = np.flatnonzero(edge), np.flatnonzero(removed & ~np.append(removed[1:] & ~edge[1:], False))
+            doc = np.searchsorted(off, first, "right") - 1
+            pair = pa.StructArray.from_arrays([pa.array(first - off[doc]), pa.array(last + 1 - off[doc])], names=["start", "end"])
+            columns["spans"] = pa.ListArray.from_arrays(pa.array(spans[off].astype(np.int32)), pair)
         columns |= {"n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(total[off])), "n_spans": pa.array(np.diff(spans[off]))}
         if text in names:
             columns[text] = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(left.tobytes())])
@@ -590,11 +600,11 @@ def _with_group(docs: DataFrame, doc_id: str, n_groups: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__group", T.LongType())]))
 
 
-def _finish(docs: DataFrame, gone: DataFrame, n_groups: int, doc_id: str, text: str, names: list[str], schema, whole_characters: bool) -> DataFrame:
+def _finish(docs: DataFrame, gone: DataFrame, n_groups: int, doc_id: str, text: str, names: list[str], schema, whole_characters: bool, locate=_by_row) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     left = _with_group(docs, doc_id, n_groups).groupBy("__group")
-    run = _apply(doc_id, text, names, to_arrow_schema(schema), whole_characters)
+    run = _apply(doc_id, text, names, to_arrow_schema(schema), whole_characters, locate)
     return left.cogroup(gone.groupBy("bucket")).applyInArrow(run, schema)
 
 
