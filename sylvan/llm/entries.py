@@ -14,6 +14,7 @@ _QUERIES = {
     "op7_line_dedup": "lines",
     "op8_toxicity": "toxicity",
     "op9_retrieval_packing": "packing",
+    "op10_nbest_pieces": "pieces",
 }
 
 
