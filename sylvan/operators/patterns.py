@@ -46,7 +46,7 @@ class Patterns:
         tiers = [self.tier(base, base, 0)] if step.low == 0 else []
         now, last = base, step.high if step.high is not None else bound + 1
         for n in range(1, last + 1):
-            now = self.round(now, step, visited, crumbs, base)
+            now = self.round(now, step, seed, visited, crumbs, base)
             now = now.but(df=stored(now.df))
             if now.df.isEmpty():
                 break
@@ -73,7 +73,7 @@ class Patterns:
         keep = [F.col(c) for c in base.df.columns if c not in names.values()]
         return now.df.select(*keep, *[F.col(a).alias(b) for a, b in names.items()], F.lit(n).alias("__tier"))
 
-    def round(self, now: State, step, visited: str, crumbs: str, base: State) -> State:
+    def round(self, now: State, step, seed: str, visited: str, crumbs: str, base: State) -> State:
         parts = []
         carried = [c for c in base.df.columns if c not in base.node.columns.values() and c not in (visited, crumbs)]
         final = arbor_nodes(base.node.source)[1]
@@ -95,9 +95,7 @@ class Patterns:
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        key = [*carried, visited, crumbs, final.columns["id"]]
-        hashable = [c for c in key if not dict(df.dtypes)[c].startswith("map")]
-        return now.but(df=df.dropDuplicates(hashable), node=final, order=())
+        return now.but(df=df.dropDuplicates([seed, visited, crumbs, final.columns["id"]]), node=final, order=())
 
     def finish_group(self, out: State, step, seed: str, visited: str, crumbs: str) -> State:
         for pred in step.preds:

@@ -515,7 +515,7 @@ class Compiler(Hops, Patterns):
         if e.kind == "capture":
             if st.captures is None:
                 return st, literal(None)
-            return st, Val(F.try_element_at(F.col(st.captures), F.lit(int(e.key) + 1)), STRING)
+            return st, Val(F.get(F.col(st.captures), F.lit(int(e.key))), STRING)
         if e.kind == "witness":
             if not 0 < e.key <= len(st.witnesses):
                 raise CompileError(f"there is no witness {e.key}")

@@ -66,9 +66,7 @@ class _Tree:
         sib = up["n_children"] + 1 if up else 1
         if up:
             up["n_children"] += 1
-        path = f"{up['locator'] if up else self.path}/{name if name is not None else ''}" if up or self.path else ""
-        if up and up["locator"] == "/":
-            path = f"/{name if name is not None else ''}"
+        path = f"{up['locator'].rstrip('/')}/{name if name is not None else ''}" if up else self.path
         self.rows.append({"id": self.base | at, "parent": up["id"] if up else (self.above[-1] if self.above else None), "name": name, "sib": sib, "n_sib": 1, "depth": self.depth + (up["depth"] + 1 - self.depth if up else 0), "n_children": 0, "n_descendants": 0, "ancestors": ancestors, "traits": traits, "value": value, "props": props or {}, "meta": meta or {}, "locator": path or "/"})
         return at
 
@@ -283,9 +281,7 @@ def forest(docs: DataFrame, doc_id: str, content: str, kind: str, **options) ->
                 except Exception:  # noqa: BLE001  whatever a parser raises on bad input
                     tree = _Tree((name + 1) << 32, 1, f"/{name}", (0,))
                     tree.add(None, str(name), ["malformed"], text)
-                done = tree.done()
-                done[0]["locator"] = f"/{name}"
-                rows += done
+                rows += tree.done()
                 if len(rows) > 5000:
                     yield _batch(rows)
                     rows = []
