@@ -7,6 +7,8 @@ empty at the arbor's bound is an error, never a shortened answer.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,10 @@ class Patterns:
                         st = self.hop(st, inner)
                 return self.keep(st, step, st)
             raise CompileError("patterns walk arbors")
+        # Each round reads the nodes and links again, so they are stored once.
+        arbor = replace(node.source, nodes=stored(node.source.nodes), edges=None if node.source.edges is None else stored(node.source.edges))
+        node = replace(node, source=arbor)
+        st = st.but(node=node)
         bound = node.source.bound
         if step.high is not None and step.high > bound:
             raise QuantifierBoundError(f"{step.high} repetitions exceed the bound of {bound}")

@@ -1004,15 +1004,14 @@ class Compiler(Hops, Patterns):
     def grouped(self, st: State, s: Stage, rest) -> State:
         base, keys = st.group.base, st.group.keys
         if s.op == "call" and s.name == "ungroup":
-            first = fresh("first")
-            rank = base.rank()
-            w = Window.partitionBy(*[v.col for _, v in keys])
-            df = base.df.withColumn(first, F.min(rank).over(w)) if rank is not None else base.df.withColumn(first, F.lit(0))
+            df, first = self.first_place(base, keys, st.group.first)
             return base.but(df=df, regs=(*base.regs, *keys), order=(Key(first), *base.order), group=None)
         if s.pipe == "|" and s.op == "call" and s.name in ("top", "bottom", "sort_by", "min_by", "max_by", "unique_by", "reverse"):
-            return st.but(group=Group(self.within(base, keys, s), keys))
-        if s.pipe == "|" and s.op == "filter" and not any(isinstance(x, Ref) and x.kind == "topic" for x in walk(s.expr)):
-            pass
+            first = st.group.first
+            if s.name not in ("sort_by", "reverse"):
+                df, first = self.first_place(base, keys, first)
+                base = base.but(df=df)
+            return st.but(group=Group(self.within(base, keys, s), keys, first))
         reducer = s.name if s.pipe == "|" and s.op == "call" and s.name in REDUCERS else None
         topic = self.topic(base)
         rank = base.rank()
@@ -1027,7 +1026,7 @@ class Compiler(Hops, Patterns):
         columns = [v.col.alias(name)]
         order_needed = rank is not None
         if order_needed:
-            columns.append(F.min(rank).alias(first))
+            columns.append((F.min(st.group.first) if st.group.first else F.min(rank)).alias(first))
         # Later property reads are those of the group's first row: it is kept only if something reads them.
         todo = [s, *rest] if not reducer else rest
         reads = any(isinstance(x, (Path, Projection)) for t in todo for x in walk(t)) and base.node is not None
@@ -1043,6 +1042,14 @@ class Compiler(Hops, Patterns):
         out = State(df, node, Val(F.col(name), v.type), regs, (Key(first),) if order_needed else tuple(Key(n) for n in labels), outer=base.outer)
         return out if reducer else self.stage(out, s, rest)
 
+    def first_place(self, base: State, keys, first: str | None):
+        """The rows with the place of their group's first row; a window on the keys that later stages share."""
+        if first is not None:
+            return base.df, first
+        name, rank = fresh("first"), base.rank()
+        w = Window.partitionBy(*[v.col for _, v in keys])
+        return base.df.withColumn(name, F.min(rank).over(w) if rank is not None else F.lit(0)), name
+
     def within(self, base: State, keys, s: Stage) -> State:
         """A keyed stage on each group's members."""
         group = [v.col for _, v in keys]

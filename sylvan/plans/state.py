@@ -55,6 +55,7 @@ class Group:
 
     base: State
     keys: tuple[tuple[str, str], ...]
+    first: str | None = None  # where a stage has dropped members: the group's first place before
 
 
 @dataclass(frozen=True)
