@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import prepare, text_of
-from .textkit import FOLDED_VALUES, U, column_bytes, mix, slices, span_hashes, word_spans
+from .frames import prepare, stored, text_of
+from .textkit import FOLDED_VALUES, U, blob_batch, blob_lengths, column_bytes, join_blobs, mix, slices, span_hashes, word_spans
 
 #: Most labelled documents of each label that the model is fitted on, chosen by a hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 5000
@@ -85,79 +85,113 @@ def score_texts(model: Model, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def fit(words: np.ndarray, sentence: np.ndarray, doc_of_sentence: np.ndarray, label: np.ndarray, rounds: int = 200, rate: float = 0.15, decay: float = 1e-2) -> Model:
-    """Trains by Adam on the mean log loss of the noisy-or, with L2 decay.  Without both labels scores are near 0."""
-    n_docs = len(label)
-    if not len(words) or label.min(initial=1) == label.max(initial=0):
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -12.0)
-    sentence = np.repeat(sentence, words.shape[1])
-    sentence, words = sentence[words.ravel() != 0], words.ravel()[words.ravel() != 0]
-    vocabulary, word = np.unique(words, return_inverse=True)
-    pair = np.unique(word.astype(np.int64) * n_docs + doc_of_sentence[sentence])
-    feature, of_toxic = pair // n_docs, label[pair % n_docs]
-    n_toxic = label.sum()
-    a, b = (np.bincount(feature, weights=w, minlength=len(vocabulary)) for w in (of_toxic, 1 - of_toxic))
-    share = (a + b + 1) / (n_docs + 2)
-    z = np.abs(a / n_toxic - b / (n_docs - n_toxic)) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / (n_docs - n_toxic)))
-    enough = (a + b >= LEAST_DOCS) & (z >= LEAST_Z)
-    if not enough.any():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -12.0)
-    number = np.cumsum(enough) - 1
-    keep = enough[word]
-    word, at, vocabulary = number[word[keep]].astype(np.int32), sentence[keep].astype(np.int32), vocabulary[enough]
-    n, n_sentences = len(vocabulary), len(doc_of_sentence)
+def fit(feature: np.ndarray, sentence: np.ndarray, doc_of_sentence: np.ndarray, label: np.ndarray, n: int, rounds: int = 200, rate: float = 0.15, decay: float = 1e-2):
+    """Weights of n features and a bias, by Adam on the mean log loss of the noisy-or, with L2 decay.
+
+    feature, sentence: one entry for each time a feature stands in a sentence.
+    """
+    n_docs, n_sentences = len(label), len(doc_of_sentence)
     weight, bias = np.zeros(n), -4.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     balance = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
     for t in range(1, rounds + 1):
-        z = bias + np.bincount(at, weights=weight[word], minlength=n_sentences)
+        z = bias + np.bincount(sentence, weights=weight[feature], minlength=n_sentences)
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         none = np.exp(-np.bincount(doc_of_sentence, weights=_softplus(z), minlength=n_docs))
         pull = np.where(label == 1, -none / np.maximum(1 - none, 1e-9), 1.0) * balance
         g = pull[doc_of_sentence] * p
-        gw, gb = np.bincount(word, weights=g[at], minlength=n) + decay / n_docs * weight, g.sum()
+        gw, gb = np.bincount(feature, weights=g[sentence], minlength=n) + decay / n_docs * weight, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         weight -= step * m / (np.sqrt(v) + 1e-9)
         bias -= step * mb / (np.sqrt(vb) + 1e-9)
-    return Model(vocabulary, weight, float(bias))
+    return weight, float(bias)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _features(batches):
+_COUNTS = pa.schema([("bucket", pa.int64()), ("feature", pa.binary()), ("toxic", pa.binary())])
+_BUCKETS = 16
+
+
+def _document_features(batches):
+    """Each document's different features with its label, packed by bucket."""
     for batch in batches:
-        buf, off = column_bytes(batch.column(0))
-        words, sentence, first, of, _, _ = sentence_words(buf, off)
-        if len(off) > 1:
-            cut = lambda x, at: [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(cut(words, first), pa.binary()), pa.array(cut(sentence.astype(np.int32), first), pa.binary())], names=["toxic", "words", "sentences"])
+        label, (buf, off) = batch.column(1).to_numpy(), column_bytes(batch.column(0))
+        found, toxic = [], []
+        for i, j in slices(off):
+            words, _, first, _, _, _ = sentence_words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            for d in range(j - i):
+                own = np.unique(words[first[d] : first[d + 1]])
+                found.append(own[own != 0])
+                toxic.append(np.full(len(found[-1]), label[i + d], np.uint8))
+        feature = np.concatenate([np.zeros(0, np.uint64), *found])
+        out = blob_batch((feature % U(_BUCKETS)).astype(np.int64), _COUNTS, feature=feature, toxic=np.concatenate([np.zeros(0, np.uint8), *toxic]))
+        if out is not None:
+            yield out
+
+
+def _select(n_toxic: int, n_clean: int):
+    """Features whose share of toxic documents differs from that of clean ones beyond chance."""
+
+    def run(table: pa.Table) -> pa.Table:
+        feature, inverse = np.unique(join_blobs(table["feature"], np.uint64), return_inverse=True)
+        toxic = join_blobs(table["toxic"], np.uint8)
+        a, b = (np.bincount(inverse, weights=w, minlength=len(feature)) for w in (toxic, 1 - toxic))
+        share = (a + b + 1) / (n_toxic + n_clean + 2)
+        z = np.abs(a / n_toxic - b / n_clean) / np.sqrt(share * (1 - share) * (1 / n_toxic + 1 / n_clean))
+        keep = (a + b >= LEAST_DOCS) & (z >= LEAST_Z)
+        return pa.table({"feature": pa.array(feature[keep].view(np.int64))})
+
+    return run
+
+
+def _bags(vocabulary: np.ndarray):
+    """Each document's label, number of sentences, and its selected features with their sentences."""
+
+    def run(batches):
+        for batch in batches:
+            rows, (buf, off) = [], column_bytes(batch.column(0))
+            for label, i in zip(batch.column(1).to_pylist(), range(len(off) - 1), strict=True):
+                words, sentence, _, of, _, _ = sentence_words(buf[off[i] : off[i + 1]], off[i : i + 2] - off[i])
+                at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+                hit = vocabulary[at] == words
+                rows.append((label, int(of[-1]), at[hit].astype(np.int32).tobytes(), np.broadcast_to(sentence[:, None], hit.shape)[hit].astype(np.int32).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["toxic", "sentences", "feature", "sentence"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most=(TRAIN_TOXIC, TRAIN_CLEAN)) -> Model:
     """Fits a model on at most ``most`` labelled toxic and clean documents that aren't held out.
 
-    Null labels don't count; a document labelled twice is toxic if one label says so.
+    Null labels don't count; a document labelled twice is toxic if one label says so.  Without both labels, or
+    features that tell them apart, every text scores near 0.
     """
     prepare(docs.sparkSession)
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -12.0)
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(toxic).cast("int")).alias("__toxic"))
     part = lambda label, n: known.where(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(n)
     sample = part(1, most[0]).unionByName(part(0, most[1]))
-    rows = docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id")).select(text_of(F.col(text)).alias("text"), "__toxic", F.col("__id"))
-    table = rows.select("text", "__toxic").mapInArrow(_features, "toxic int, words binary, sentences binary").toArrow()
-    if not table.num_rows:
-        return fit(np.zeros((0, 1), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    data, at = column_bytes(table["words"])
-    width = 1 + len(PREFIXES)
-    words, sizes = np.frombuffer(data.tobytes(), np.uint64).reshape(-1, width), np.diff(at) // (8 * width)
-    own = np.frombuffer(column_bytes(table["sentences"])[0].tobytes(), np.int32).astype(np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])
-    return fit(words, np.cumsum(new) - 1, doc[new], table["toxic"].to_numpy().astype(np.int64))
+    rows = stored(docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id")).select(text_of(F.col(text)).alias("text"), "__toxic"), "labelled")
+    sizes = {r[0]: r[1] for r in rows.groupBy("__toxic").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return nothing
+    chosen = rows.mapInArrow(_document_features, "bucket long, feature binary, toxic binary").groupBy("bucket").applyInArrow(_select(sizes[1], sizes[0]), "feature long").toArrow()
+    vocabulary = np.sort(chosen["feature"].to_numpy().view(np.uint64))
+    if not len(vocabulary):
+        return nothing
+    bags = rows.mapInArrow(_bags(vocabulary), "toxic int, sentences int, feature binary, sentence binary").toArrow()
+    count = bags["sentences"].to_numpy().astype(np.int64)
+    first = np.cumsum(count) - count
+    feature, own = join_blobs(bags["feature"], np.int32), join_blobs(bags["sentence"], np.int32)
+    sentence = own + np.repeat(first, blob_lengths(bags["feature"]) // 4)
+    weights, bias = fit(feature, sentence, np.repeat(np.arange(len(count)), count), bags["toxic"].to_numpy().astype(np.int64), len(vocabulary))
+    return Model(vocabulary, weights, bias)
 
 
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
