@@ -181,7 +181,7 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, table: np
         base[me, :, a] -= l_other
         base[me, a, :] -= r_other
         base[me, a, a] -= self_n
-        col, row = base.sum(axis=1), base.sum(axis=2)[:, :k]
+        col, row = base.sum(axis=1) + r_other, base.sum(axis=2)[:, :k] + l_other[:, :k]  # the word's other neighbours stay
         gain = (_x_log_x(base + l_other[:, :, None]) - _x_log_x(base)).sum(axis=1)  # column b takes the left counts
         gain += (_x_log_x(base[:, :k] + r_other[:, None, :]) - _x_log_x(base[:, :k])).sum(axis=2)
         d = np.arange(k)

@@ -381,6 +381,9 @@ def _cut(n_buckets: int, n_groups: int, hot: np.ndarray, doc_id: str, text: str)
             which, at_row = _at_rows(ids, join_blobs(found["id"], np.int64))
             fits = start[which] + length[which] + LENGTH - 1 <= off[at_row + 1] - off[at_row]
             which, at_row = which[fits], at_row[fits]
+            if len(which) and (ids[1:] == ids[:-1]).any():  # rows of one id were found once for each
+                _, once = np.unique(at_row << _ROW | start[which], return_index=True)
+                which, at_row = which[once], at_row[once]
             key, start, length = key[which], start[which], length[which]
             if len(hot) and len(key):
                 is_hot = np.isin(key, hot)
