@@ -195,7 +195,7 @@ class Hops:
     def from_row(self, st: State, step) -> State:
         node, table = st.node, st.node.source
         if step.axis == "child":  # cells: the columns that aren't null
-            columns = [c for c in table.df.columns if step.matcher.kind == "any" or re.search({"name": "^" + re.escape(step.matcher.text) + "$", "glob": glob_regex(step.matcher.text), "regex": step.matcher.text}[step.matcher.kind], c)]
+            columns = [c for c in table.df.columns if not c.startswith("_") and (step.matcher.kind == "any" or re.search({"name": "^" + re.escape(step.matcher.text) + "$", "glob": glob_regex(step.matcher.text), "regex": step.matcher.text}[step.matcher.kind], c))]
             if not columns:
                 columns, st = table.df.columns[:1], st.but(df=st.df.where(F.lit(False)))
             cell = fresh("cell")
