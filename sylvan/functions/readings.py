@@ -203,6 +203,18 @@ def less(op: str, a: Val, b: Val) -> Column:
     return F.lit(False) if x is None or y is None else F.coalesce(compare(x, y), F.lit(False))
 
 
+def pushable(op: str, a: Val, b: Val) -> Column | None:
+    """The comparison as a filter that sources can evaluate (null is dropped, as false is), or None."""
+    compare = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
+    decimal = isinstance(a.type, T.DecimalType) or isinstance(b.type, T.DecimalType)
+    if a.numeric and b.numeric and not decimal:
+        return compare(a.col, b.col)
+    if a.instant and b.instant and (a.literal or b.literal):  # the constant takes the column's type
+        kind = (b if a.literal else a).type
+        return compare(*(v.col.cast(kind) if v.literal else v.col for v in (a, b)))
+    return None
+
+
 def rank_key(v: Val) -> list[Column]:
     """Columns that sort in the total order: null, then numbers and instants, then plain text."""
     if v.text:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import quantity, scalars, temporal
-from ..functions.readings import Val, arithmetic, equal, less, literal, number, rank_key, truth
+from ..functions.readings import Val, arithmetic, equal, less, literal, number, pushable, rank_key, truth
 from ..functions.reducers import REDUCERS, reduce_list, reduce_rows
 from ..lang.ast import Call, Inline, Interp, Lit, Op, Outer, Path, Projection, Query, Range, Rec, Ref, Shaped, Stage, Step, Sub, walk
 from ..lang.parser import KEYED
@@ -274,6 +274,13 @@ class Compiler(Hops, Patterns):
             if navigation and isinstance(c, Op) and any(isinstance(x, Ref) and x.kind == "ord" for x in c.args):
                 st = st.but(df=st.df.where(F.lit(False)))
                 continue
+            if isinstance(c, Op) and c.op in ("<", "<=", ">", ">=") and not any(self.many(a) for a in c.args):
+                st, a = self.value(st, c.args[0])
+                st, b = self.value(st, c.args[1])
+                plain = pushable(c.op, a, b)
+                if plain is not None:
+                    st = st.but(df=st.df.where(plain))
+                    continue
             st, v = self.value(st, c)
             st = st.but(df=st.df.where(truth(v)))
         return st

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,15 +16,22 @@ EDGE_SCHEMA = "src long, label string, dst long, props map<string,string>"
 
 @dataclass(frozen=True)
 class Table:
-    """A table's rows in the order of ``order``; ``key`` names a row; foreign keys are column -> (table, column)."""
+    """A table's rows in the order of ``order``; ``key`` names a row; foreign keys are column -> (table, column).
+
+    ``rows`` is a DataFrame, or a function that gives it when a query first needs the table.
+    """
 
     name: str
-    df: DataFrame
+    rows: DataFrame | Callable[[], DataFrame]
     order: tuple[str, ...]
     key: str | None = None
     fks: dict = field(default_factory=dict)
     meta: dict = field(default_factory=dict)
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.rows() if callable(self.rows) else self.rows
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -51,12 +60,22 @@ class Mount:
 
 
 def with_filter(table: Table, condition) -> Table:
-    return replace(table, df=table.df.where(condition))
+    return replace(table, rows=table.df.where(condition))
 
 
 def tables_of(spark, folder: str, specs: dict[str, tuple[tuple[str, ...], str | None, dict]]) -> Tables:
-    """Parquet tables of a folder: name -> (order, key, foreign keys)."""
-    return Tables({name: Table(name, spark.read.parquet(f"{folder}/{name}.parquet"), order, key, fks) for name, (order, key, fks) in specs.items()})
+    """Parquet tables of a folder: name -> (order, key, foreign keys).  A table is opened when a query needs it."""
+
+    def opened(name: str):
+        path = f"{folder}/{name}.parquet"
+        if path not in _schemas:  # finding a schema takes a job
+            _schemas[path] = spark.read.parquet(path).schema
+        return spark.read.schema(_schemas[path]).parquet(path)
+
+    return Tables({name: Table(name, partial(opened, name), order, key, fks) for name, (order, key, fks) in specs.items()})
+
+
+_schemas: dict = {}
 
 
 def derive_columns(nodes: DataFrame) -> DataFrame:
