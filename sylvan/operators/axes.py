@@ -337,7 +337,7 @@ class Hops:
         w = Window.partitionBy(*by)
         df = out.df.withColumn(all_edges, F.collect_list(out.edge).over(w)) if out.edge else out.df
         df = df.withColumn(n, F.row_number().over(w.orderBy(*out.sorts()))).where(F.col(n) == 1).drop(n)
-        return out.but(df=df)
+        return out.but(df=df, edges=all_edges if out.edge else None)
 
     def crosslinks(self, st: State, step) -> State:
         node, arbor = st.node, st.node.source

@@ -540,6 +540,8 @@ class Compiler(Hops, Patterns):
                 return st, literal(None)
             c = F.col(st.edge)
             one = Val(c["props"][e.key] if e.key else c["label"], STRING)
+            if e.kind == "edges" and st.edges is not None:
+                return st, Val(F.transform(F.col(st.edges), lambda x: x["props"][e.key] if e.key else x["label"]), T.ArrayType(STRING))
             return st, one if e.kind == "edge" else Val(F.array(one.col), T.ArrayType(STRING))
         raise CompileError(f"unknown reference {e.kind}")
 

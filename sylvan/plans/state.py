@@ -69,6 +69,7 @@ class State:
     witnesses: tuple[Node, ...] = ()
     captures: str | None = None
     edge: str | None = None
+    edges: str | None = None  # all crossings that ended here, merged by the last hop
     group: Group | None = None
     window: tuple | None = None
     outer: State | None = None

@@ -113,6 +113,7 @@ def test_graphs_and_models(spark):
     assert sorted(e.values("/person/1--knows::name")) == ["Ann", "Cy"]
     assert e.values("/person/0->knows | $-::since") == ["5"]
     assert e.values("/person/0(->knows)+::name") == ["Bob", "Cy"]
+    assert e.values("/person/*->knows | rec(::name, 'by', (@- | join(',')))") == [{"name": "Bob", "by": "knows"}, {"name": "Cy", "by": "knows"}]
     team = Engine(spark, derived.shared(g, "team", "team", F.array_contains("traits", "person")))
     assert team.values("/person/0->team::name") == ["Cy"]
     rel = Engine(spark, derived.relation(g, "before", F.array_contains("traits", "person"), F.array_contains("traits", "person"), lambda a, b: a["name"] < b["name"]))
