@@ -128,7 +128,7 @@ def _locate(ids: np.ndarray, gone: pa.Table, buf: np.ndarray, off: np.ndarray):
 def _removals(docs: DataFrame, doc_id: str, text: str, least_words: int):
     spark = docs.sparkSession
     prepare(spark)
-    n = buckets(spark, 1)
+    n = buckets(spark, 2)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(F.col(text)).alias("text"))
     binary = lambda schema: ", ".join(f"`{f.name}` {'long' if f.name == 'bucket' else 'binary'}" for f in schema)
     found = rows.mapInArrow(_find(n, least_words), binary(_UNITS))

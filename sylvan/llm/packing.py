@@ -27,7 +27,7 @@ WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_BYTES = 4096, 12_000_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-_CACHED_WORDS = 1_500_000
+_CACHED_WORDS = 1_000_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

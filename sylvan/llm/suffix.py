@@ -32,7 +32,7 @@ SPAN = LENGTH - GRAM + 1
 #: A minimiser with more than this share of all strings ranks last; at most 1 / HOT_SHARE are broadcast.
 HOT_SHARE = 1 / 2000
 #: Most strings in one construction, unless one minimiser has more.
-BUILD = 12_000
+BUILD = 8_000
 MAX_RUN = 255
 _GRAM_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _NO_ID = -(2**63)
@@ -263,7 +263,7 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64) if column.null_count else column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _ask(n_buckets: int, n_groups: int, flush: int = 300_000):
+def _ask(n_buckets: int, flush: int = 300_000):
     """Asks each minimiser's bucket whether it occurs again; those seen twice at hand go on at once, with one count."""
 
     def empty(held):
@@ -276,8 +276,7 @@ def _ask(n_buckets: int, n_groups: int, flush: int = 300_000):
         if sure.any():
             many, at = np.unique(key[sure], return_index=True)
             yield _partial(_ASK, ["many", "many_n"], (many >> U(31)).astype(np.int64), many=many.astype(np.uint32) & np.uint32(2**31 - 1), many_n=count[inverse[sure][at]].astype(np.int32))
-            group = _spread(ids[sure], n_groups)
-            yield _partial(_ASK, ["sure", "sure_id", "sure_start", "sure_run"], group % n_buckets, sure=key[sure], sure_id=ids[sure], sure_start=starts[sure], sure_run=runs[sure])
+            yield _partial(_ASK, ["sure", "sure_id", "sure_start", "sure_run"], _spread(ids[sure], n_buckets), sure=key[sure], sure_id=ids[sure], sure_start=starts[sure], sure_run=runs[sure])
 
     def run(batches):
         held, size = [], 0
@@ -521,12 +520,22 @@ def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_ch
             return schema.empty_table()
         docs, ids, row = _order_rows(docs, doc_id, text)
         buf, off = column_bytes(docs[text])
-        step = np.zeros(len(buf) + 1, np.int32)
+        which = begin = n = np.zeros(0, np.int64)
         if gone.num_rows:
             which, begin, n = locate(ids, gone, buf, off)
-            begin = off[which] + begin
-            np.add.at(step, begin, 1)
-            np.add.at(step, begin + n, -1)
+            order = np.argsort(which, kind="stable")
+            which, begin, n = which[order], begin[order], n[order]
+        parts = []
+        for i, j in slices(off, 1 << 21):  # the masks take many times the bytes of the texts
+            a, b = np.searchsorted(which, [i, j])
+            parts.append(part(docs.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i], which[a:b] - i, begin[a:b], n[a:b]))
+        return pa.concat_tables(parts)
+
+    def part(docs: pa.Table, buf, off, which, begin, n) -> pa.Table:
+        step = np.zeros(len(buf) + 1, np.int32)
+        begin = off[which] + begin
+        np.add.at(step, begin, 1)
+        np.add.at(step, begin + n, -1)
         removed = np.cumsum(step[:-1]) > 0
         total = np.concatenate([[0], np.cumsum(removed)])
         edge = removed.copy()
@@ -552,7 +561,7 @@ def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_ch
             columns["spans"] = pa.ListArray.from_arrays(pa.array(spans[off].astype(np.int32)), pair)
         columns |= {"n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(total[off])), "n_spans": pa.array(np.diff(spans[off]))}
         if text in names:
-            columns[text] = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(left.tobytes())])
+            columns[text] = pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(left.tobytes())])
         return pa.table([columns[n] for n in names], names=names).cast(schema)
 
     return run
@@ -562,9 +571,9 @@ def _removals(docs: DataFrame, doc_id: str, text: str):
     """The bytes to remove, packed by group of documents, and the number of groups."""
     spark = docs.sparkSession
     prepare(spark)
-    n_buckets = n_groups = buckets(spark)
+    n_buckets, n_groups = buckets(spark), buckets(spark, 4)  # a group's texts are at hand at once
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(F.col(text)).alias("text"))
-    asked = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_ask(n_buckets, n_groups), "bucket long, asked binary, ask_id binary, ask_start binary, ask_run binary, many binary, many_n binary, sure binary, sure_id binary, sure_start binary, sure_run binary")
+    asked = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_ask(n_buckets), "bucket long, asked binary, ask_id binary, ask_start binary, ask_run binary, many binary, many_n binary, sure binary, sure_id binary, sure_start binary, sure_run binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer(n_groups), "bucket long, key binary, id binary, start binary, run binary, hot binary, hot_n binary, strings long")
     answered = stored(answered, "minimisers")
     total = answered.agg(F.sum("strings")).first()[0] or 0
