@@ -5,9 +5,10 @@ piece of its own has one edge of byte pieces.  Forward Viterbi gives each place'
 which is the exact cost left to a search that comes from the end: backward A-star therefore leaves the lattice
 with whole segmentations in order of their scores.
 
-No piece has a space after another character, so the lattice of a text is a chain of lattices of words with the
-spaces before them.  Each different word is searched once while it is kept; the N best segmentations of a text
-are then found by the same search over the losses of its words' alternatives.
+Two bytes that stand side by side in no piece, as a letter before a space do, cut the lattice: no edge crosses
+them, so the lattice of a text is a chain of lattices of short words.  Each different word is searched once while
+it is kept; the N best segmentations of a text are then found by the same search over the losses of its words'
+alternatives.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ SPACE = "▁"
 BYTE_PENALTY = 10.0
 #: Pieces with a score this low, as runs of spaces have, are left to decoding.
 _NEVER = -1e8
-_CACHED_WORDS = 400_000
+_CACHED_WORDS = 1_200_000
 
 
 def default_model() -> str:
@@ -57,22 +58,33 @@ class Lattice:
                 self.spell.append(piece.replace(SPACE, " ").encode())
                 if score > _NEVER:
                     self.pieces[piece.replace(SPACE, " ")] = (score, i)
-        self.longest = max(map(len, self.pieces))
         self.low = min(s for s, _ in self.pieces.values()) - BYTE_PENALTY
+        # Pieces, and their beginnings without a piece as False: a miss ends the search for longer ones.
+        self.table = {p[:k]: False for p in self.pieces for k in range(1, len(p))} | {p: (s, (i,)) for p, (s, i) in self.pieces.items()}
+        # Whether two bytes stand side by side in a piece; all bytes of longer characters are one kind.
+        self.inside = np.zeros((129, 129), bool)
+        self.inside[128, 128] = True
+        for p in self.pieces:
+            b = np.minimum(np.frombuffer(p.encode(), np.uint8), 128)
+            self.inside[b[:-1], b[1:]] = True
 
     def edges(self, text: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place, the edges that end there: start, score, ids."""
-        out: list[list] = [[] for _ in range(len(text) + 1)]
-        look, longest = self.pieces.get, self.longest
-        for end in range(1, len(text) + 1):
-            here = out[end]
-            for start in range(max(0, end - longest), end):
+        n, look = len(text), self.table.get
+        out: list[list] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            end = start + 1
+            found = look(text[start:end])
+            if not found:  # no piece of its own
+                data = text[start:end].encode("utf-8", "surrogatepass")
+                out[end].append((start, self.low * len(data), tuple(self.bytes[b] for b in data)))
+            while found is not None:
+                if found:
+                    out[end].append((start, *found))
+                end += 1
+                if end > n:
+                    break
                 found = look(text[start:end])
-                if found is not None:
-                    here.append((start, found[0], (found[1],)))
-            if not here or here[-1][0] != end - 1:
-                data = text[end - 1].encode("utf-8", "surrogatepass")
-                here.append((end - 1, self.low * len(data), tuple(self.bytes[b] for b in data)))
         return out
 
     def n_best(self, text: str, n: int = BEST) -> list[tuple[float, tuple[int, ...]]]:
@@ -176,11 +188,11 @@ class Words:
         return self.spell[ranges(self.spell_bounds[ids], n)]
 
 
-def split_words(buf: np.ndarray, off: np.ndarray):
-    """Words with the spaces before them, of texts that start with a space: starts and ends, and each text's first."""
-    space = buf == 0x20
-    new = space.copy()
-    new[1:] &= ~space[:-1]
+def split_words(buf: np.ndarray, off: np.ndarray, inside: np.ndarray):
+    """Words, which no piece crosses: starts and ends, and each text's first."""
+    kind = np.minimum(buf, 128)
+    new = np.ones(len(buf), bool)
+    new[1:] = ~inside[kind[:-1], kind[1:]]
     new[off[:-1][off[:-1] < off[1:]]] = True
     starts = np.flatnonzero(new)
     return starts, np.append(starts[1:], len(buf)), np.searchsorted(starts, off)
@@ -200,7 +212,7 @@ def _encode(path: str, n: int, with_ids: bool):
                 first = (whole_off[i : j] - whole_off[i])[size > 0]
                 buf = np.insert(whole[whole_off[i] : whole_off[j]], first, 0x20)  # the space that the model puts first
                 off = np.concatenate([[0], np.cumsum(size + (size > 0))])
-                starts, ends, bounds = split_words(buf, off)
+                starts, ends, bounds = split_words(buf, off, words.lattice.inside)
                 h = np.empty(len(starts), np.uint64)
                 for a, b in slices(off):
                     x, y = bounds[a], bounds[b]
