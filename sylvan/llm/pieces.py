@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-A text's piece lattice has an edge for every piece of the model that spells a part of it; a character without a
+A text's piece lattice has an edge for every piece of the model that spells a part of it, the space and its runs
+with their very low scores too; a character without a
 piece of its own has one edge of byte pieces.  Forward Viterbi gives each place's best score from the start,
 which is the exact cost left to a search that comes from the end: backward A-star therefore leaves the lattice
 with whole segmentations in order of their scores.
@@ -28,8 +29,6 @@ BEST = 4
 SPACE = "▁"
 #: Score of a byte piece below the least of all pieces, as the reference implementation takes for unknown ones.
 BYTE_PENALTY = 10.0
-#: Pieces with a score this low, as runs of spaces have, are left to decoding.
-_NEVER = -1e8
 _CACHED_WORDS = 1_200_000
 
 
@@ -56,8 +55,7 @@ class Lattice:
                 self.spell.append(b"")
             else:
                 self.spell.append(piece.replace(SPACE, " ").encode())
-                if score > _NEVER:
-                    self.pieces[piece.replace(SPACE, " ")] = (score, i)
+                self.pieces[piece.replace(SPACE, " ")] = (score, i)
         self.low = min(s for s, _ in self.pieces.values()) - BYTE_PENALTY
         # Pieces, and their beginnings without a piece as False: a miss ends the search for longer ones.
         self.table = {p[:k]: False for p in self.pieces for k in range(1, len(p))} | {p: (s, (i,)) for p, (s, i) in self.pieces.items()}

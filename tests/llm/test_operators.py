@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -405,6 +406,62 @@ def test_n_best_pieces(spark):
     assert pieces.encode(table(spark, texts).limit(0)).count() == 0
 
 
+def model_pieces(path):
+    """Pieces, scores and kinds as the model file has them: field 1 is a piece, with text 1, score 2 and kind 3."""
+
+    def fields(data):
+        def varint(at):
+            out = shift = 0
+            while True:
+                out |= (data[at] & 127) << shift
+                at, shift = at + 1, shift + 7
+                if data[at - 1] < 128:
+                    return out, at
+
+        at = 0
+        while at < len(data):
+            key, at = varint(at)
+            if key & 7 == 0:
+                value, at = varint(at)
+            else:
+                size, at = varint(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+                value, at = data[at : at + size], at + size
+            yield key >> 3, value
+
+    with open(path, "rb") as f:
+        rows = [dict(fields(value)) for key, value in fields(f.read()) if key == 1]
+    return [(r[1].decode(), struct.unpack("<f", r[2])[0], r.get(3, 1)) for r in rows]
+
+
+def test_spaces_have_their_pieces(spark):
+    rows = model_pieces(pieces.default_model())
+    normal = {p.replace("▁", " "): (s, i) for i, (p, s, kind) in enumerate(rows) if kind == 1}
+    byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(rows) if kind == 6}
+    low = min(s for s, _ in normal.values()) - pieces.BYTE_PENALTY
+    lattice = pieces.Lattice(pieces.default_model())
+    texts = ["1 9", "a  b", "x 世 界", "    if", "\n  y", "☃ 7", " "]
+    got = {r.doc_id: r for r in pieces.encode(table(spark, list(enumerate(texts))), with_ids=True).collect()}
+    for k, text in enumerate(texts):
+        text, found = " " + text, []
+        edges = [(a, b, *normal[text[a:b]]) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if text[a:b] in normal]
+        edges = [(a, b, s, (i,)) for a, b, s, i in edges] + [(a, a + 1, low * len(c.encode()), tuple(byte[x] for x in c.encode())) for a, c in enumerate(text) if c not in normal]
+        assert sorted(edges) == sorted((a, b, s, ids) for b, there in enumerate(lattice.edges(text)) for a, s, ids in there)
+
+        def go(at, score, ids):
+            if at == len(text):  # noqa: B023
+                found.append((-score, ids))  # noqa: B023
+            for a, b, s, i in edges:  # noqa: B023
+                if a == at:
+                    go(b, score + s, ids + i)
+
+        go(0, 0.0, ())
+        found.sort()
+        r = got[k]
+        assert r.nbest_scores == [-s for s, _ in found[:4]] and r.score == -found[0][0] and r.round_trip
+        assert tuple(r.ids) in [ids for s, ids in found if s == found[0][0]] and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert r.n_best == min(4, len(found)) and set(r.nbest_crc32) <= {zlib.crc32(np.array(ids, "<u4").tobytes()) for _, ids in found} and len(set(r.nbest_crc32)) == r.n_best
+
+
 @pytest.mark.parametrize("text", ["", "a", "a b", "a\x0bb\x0cc d e f", "é ü", " lead and trail "])
 def test_words_and_shingles(text):
     buf, off = textkit.column_bytes(pa.array(["pre fix", text, "post"]))
