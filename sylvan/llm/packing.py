@@ -25,7 +25,6 @@ from .textkit import EXACT_VALUES, column_bytes, ranges, slices, span_hashes, wo
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_BYTES = 4096, 12_000_000
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 _CACHED_WORDS = 1_000_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -150,16 +149,14 @@ class Index:
         size = np.diff(bounds)
         norm = K1 * (1 - B + B * size / max(1.0, size.mean() if self.n else 1.0))
         self.weight = self.idf[term] * tf * (K1 + 1) / (tf + norm[self.docs])
-        # Each document's query: its terms of most weight that others have too.
+        # Each document's query: all its terms that others have too.
         shared = np.flatnonzero(df[term] > 1)
-        order = shared[np.lexsort((-self.weight[shared], self.docs[shared]))]
-        begin = np.searchsorted(self.docs[order], np.arange(self.n + 1))
-        keep = np.arange(len(order)) - begin[self.docs[order]] < QUERY_TERMS
-        self.query = term[order[keep]]
-        self.query_bounds = np.searchsorted(self.docs[order[keep]], np.arange(self.n + 1))
+        order = shared[np.argsort(self.docs[shared], kind="stable")]
+        self.query = term[order]
+        self.query_bounds = np.searchsorted(self.docs[order], np.arange(self.n + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first (ties: the first)."""
+        """Unused documents that share a term with the seed, by BM25 over all its terms, best first (ties: the first)."""
         terms = self.query[self.query_bounds[seed] : self.query_bounds[seed + 1]]
         at = ranges(self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms])
         score = np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)

@@ -374,6 +374,21 @@ def test_neighbours_share_rare_words():
     assert list(index.neighbours(0, np.ones(4, bool))) == [0, 2, 1]
 
 
+def test_neighbours_are_scored_with_all_terms():
+    rng = random.Random(8)
+    docs = [list(range(40)) + [100], list(range(40)), [100, 200, 201], [100, 202], *[[rng.randrange(60) for _ in range(rng.randrange(1, 90))] for _ in range(30)]]
+    index = packing.Index(np.array([w for d in docs for w in d], np.uint64), np.cumsum([0, *map(len, docs)]))
+    df, mean = collections.Counter(w for d in docs for w in set(d)), sum(map(len, docs)) / len(docs)
+    for seed, d in enumerate(docs):
+        score = []
+        for other in docs:
+            norm = packing.K1 * (1 - packing.B + packing.B * len(other) / mean)
+            score.append(sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * other.count(w) * (packing.K1 + 1) / (other.count(w) + norm) for w in set(d) & set(other) if df[w] > 1))
+        got = index.neighbours(seed, np.ones(len(docs), bool))
+        assert set(got) == {i for i, x in enumerate(score) if x > 0}
+        assert np.allclose([score[i] for i in got], sorted((x for x in score if x > 0), reverse=True))
+
+
 def test_n_best_pieces(spark):
     lattice = pieces.Lattice(pieces.default_model())
 
