@@ -2,7 +2,8 @@
 
 A unit is a line, or a sentence of at least ``LEAST_WORDS`` words within a line.  Units are compared by their
 words alone, in lower case, so spacing and letter case of ASCII letters don't count; a unit without words is
-never removed.  Of the units of one kind with equal words the earliest, by document id and offset, stays.
+never removed.  Of the units with equal words, be they lines or sentences, the earliest, by document id and
+offset, stays.
 
 Each part of the input keeps one unit of a digest and drops the others at once, so a line that stands in a
 third of all documents meets in its bucket once for each part.
@@ -47,7 +48,7 @@ def units(buf: np.ndarray, off: np.ndarray, least_words: int = LEAST_WORDS):
         if kind == 2:
             keep = (b - a >= least_words) & ~(new_line[a] & np.append(new_line[b[:-1]], True))  # a whole line is a unit already
             a, b = a[keep], b[keep]
-        lo, hi = (mix((s[b] - s[a]) * down[a] + U(kind)) for s in sums)
+        lo, hi = (mix((s[b] - s[a]) * down[a] + U(1)) for s in sums)
         out.append((doc[a], starts[a] - off[doc[a]], ends[b - 1] - off[doc[a]], lo, hi))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 

@@ -321,6 +321,16 @@ def test_line_dedup(spark):
     assert lines.remove_units(odd).columns == odd.columns
 
 
+def test_a_sentence_is_the_same_on_a_line_of_its_own(spark):
+    s = "This passage stands on a line of its own and " + "goes on " * 25 + "to its end."
+    rows = [(0, f"Head\n{s}\nfoot"), (1, f"Some words stand before. {s} And after."), (2, s.upper()), (3, f"short.\n{s} More.")]
+    gone = {r.doc_id: [rows[r.doc_id][1][x.start : x.end] for x in r.spans] for r in lines.repeated_units(table(spark, rows)).collect()}
+    assert gone == {0: [], 1: [s], 2: [s.upper()], 3: [s]}
+    back = [(9 - i, t) for i, t in rows]  # the sentence within a line comes first
+    gone = {r.doc_id: r.n_spans for r in lines.repeated_units(table(spark, back)).collect()}
+    assert gone == {6: 0, 7: 1, 8: 1, 9: 1}
+
+
 def test_toxicity_finds_documents_and_sentences(spark):
     rng = random.Random(6)
     calm = ["river", "stone", "green", "walks", "slowly", "bright", "house", "tree"]
