@@ -1,22 +1,25 @@
 """Class-based n-gram language model with exchange clustering.
 
-P(w | h) = MIX * P(class(w) | s) * P(w | class(w)) + (1 - MIX) * P_base(w), where s is the class of the last
-frequent word of the document before w (or its start) and P_base the add-one unigram.  A word unknown to the
+P(w | h) = MIX * P(class(w) | s) * P(w | class(w)) + (1 - MIX) * P_base(w), where s is the class of the word
+before w (or the document's start, or any class if that word is unknown) and P_base the add-one unigram.  A word unknown to the
 training part has a class of its own, whose probability after s is the share of words seen once after s
 (Good-Turing); it sums to one over the known words and one unknown word.
 
 Classes come from the exchange algorithm: a word moves to the class that raises the likelihood of the class
 bigrams most.  As in distributed versions of it, the words of a round are weighed in parallel against the
 counts of the last round, one half of the words at a time.  Words with a share of at least ``FREQUENT`` of all
-tokens, at most 1 / FREQUENT whatever the input, are exchanged in this way and broadcast; every other word, in
-any number, is placed once, where its counts beside the classes of frequent words make it likeliest, in the
-bucket of its hash, and never leaves that bucket.
+tokens, at most 1 / FREQUENT whatever the input, are exchanged in this way first and broadcast; every other word,
+in any number, is placed where its counts beside the classes of frequent words make it likeliest.  From there all
+words, frequent or rare, are exchanged by the bigrams of adjacent words, in the buckets of their hashes, until the
+likelihood settles; these bigrams are the model.
 
 Counts travel as packed arrays by bucket of the word's hash, summed at hand before they are shuffled.
 """
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -29,6 +32,8 @@ from .textkit import FOLDED_VALUES, U, blob_batch, column_bytes, join_blobs, sli
 
 FREQUENT = 1 / 20_000
 CLASSES, ROUNDS, MIX = 40, 10, 0.95
+#: Gain of a pass, in nats a token, below which the classes of all words have settled.
+SETTLED = 1e-3
 END = U(0x454E44)
 _FLUSH_TOKENS = 2_000_000
 _FLUSH_DOCS = 2048
@@ -169,6 +174,7 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, table: np
     class bigrams, with a row for the start; twice: counts of a word beside itself.
     """
     k, n = table.shape[1], len(own)
+    left, right = left.astype(float), right.astype(float)  # counts of no pairs are whole numbers
     out = own.copy()
     twice = np.zeros(n) if twice is None else twice
     for i in range(0, n, 256):
@@ -337,12 +343,15 @@ def _summed(rows: DataFrame, name: str, size: int) -> np.ndarray:
 class Model:
     """The broadcast part of a trained model: its size doesn't grow with the corpus."""
 
-    def __init__(self, frequent, counts, cls, table, once, total, kinds, k, mix):
-        self.frequent, self.counts, self.cls, self.total, self.kinds, self.k, self.mix = frequent, counts, cls, total, kinds, k, mix
+    counts, cls = (), ()  # all words are in the table of known ones
+
+    def __init__(self, table, once, total, kinds, k, mix):
+        self.total, self.kinds, self.k, self.mix = total, kinds, k, mix
+        self.class_size = np.maximum(table.sum(axis=0), 1.0)
+        table, once = np.vstack([table, table.sum(axis=0)]), np.append(once, once.sum())  # after an unknown word: as after any
         seen = table.sum(axis=1)
         self.unknown = np.clip((once + 0.5) / (seen + 1.0), 1e-9, 0.9)
         self.follow = (table + 0.5) / (seen + 0.5 * k)[:, None] * (1 - self.unknown)[:, None]
-        self.class_size = np.maximum(table.sum(axis=0), 1.0)
 
     def base(self, n):
         return (n + 1.0) / (self.total + self.kinds + 1.0)
@@ -355,90 +364,204 @@ class Model:
         return np.log10(self.mix * self.unknown[before] + (1 - self.mix) * self.base(0.0))
 
 
-_ASKED = pa.schema([("bucket", pa.int64()), ("tag", pa.int64()), ("words", pa.binary()), ("before", pa.binary()), ("doc", pa.binary()), ("own", pa.binary())])
-_OWN = np.dtype([("id", np.int64), ("null", np.int8), ("held", np.int8), ("tokens", np.int64), ("known", np.int64), ("base", np.float64), ("score", np.float64)])
+_TOKENS = pa.schema([("bucket", pa.int64()), ("tag", pa.int64()), ("words", pa.binary()), ("at", pa.binary()), ("index", pa.binary()), ("bounds", pa.binary()), ("own", pa.binary())])
+_OWN = np.dtype([("id", np.int64), ("null", np.int8), ("held", np.int8)])
 
 
-def _score(model: Model, n_buckets: int):
-    """Scores frequent words at once; rare ones are asked of their word's bucket, tagged with the part of documents."""
+def _parts(n_buckets: int):
+    """Documents as numbers of their part's different words (bucket -1), and those words, asked of their buckets."""
 
     def run(batches):
         partition, part = TaskContext.get().partitionId(), 0
         for batch in batches:
-            buf, off = column_bytes(batch.column(1))
-            ids, held = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            own = np.zeros(batch.num_rows, _OWN)
-            own["null"], own["id"], own["held"] = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), held
-            asked = []
-            for i, j in slices(off):
-                h, bounds = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                number = _number(model.frequent, h)
-                before = model.cls[_last_frequent(number, bounds, len(model.frequent))]
-                doc = np.repeat(np.arange(i, j), np.diff(bounds))
-                ok = number >= 0
-                n = model.counts[number[ok]]
-                add = lambda name, x, d: np.add(own[name], np.bincount(d, weights=x, minlength=len(own)), out=own[name], casting="unsafe")  # noqa: B023, E731
-                own["tokens"][i:j] = np.diff(bounds)
-                add("known", np.ones(len(n)), doc[ok])
-                add("base", np.log10(model.base(n)), doc[ok])
-                add("score", model.known_word(before[ok], n, model.cls[number[ok]]), doc[ok])
-                asked.append((h[~ok], before[~ok].astype(np.uint8), doc[~ok].astype(np.int32)))
-            tag = partition << 32 | part
-            part += 1
             if not batch.num_rows:
                 continue
-            words, before, doc = (np.concatenate(x) for x in zip(*asked, strict=True))
-            if len(words):
-                out = blob_batch((words % U(n_buckets)).astype(np.int64), pa.schema([_ASKED.field(n) for n in ("bucket", "words", "before", "doc")]), words=words, before=before, doc=doc)
-                yield pa.RecordBatch.from_arrays([out.column(0), pa.array([tag] * out.num_rows, pa.int64()), *out.columns[1:], pa.nulls(out.num_rows, pa.binary())], schema=_ASKED)
-            none = pa.nulls(1, pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([(tag ^ tag >> 27) % n_buckets], pa.int64()), pa.array([tag], pa.int64()), none, none, none, pa.array([own.tobytes()], pa.binary())], schema=_ASKED)
+            buf, off = column_bytes(batch.column(1))
+            ids, own = batch.column(0), np.zeros(batch.num_rows, _OWN)
+            own["null"], own["id"], own["held"] = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            hashes, bounds = [], [np.zeros(1, np.int64)]
+            for i, j in slices(off):
+                h, b = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                hashes.append(h)
+                bounds.append(b[1:] + bounds[-1][-1])
+            words, index = np.unique(np.concatenate(hashes), return_inverse=True)
+            tag, part = partition << 32 | part, part + 1
+            out = blob_batch((words % U(n_buckets)).astype(np.int64), pa.schema([_TOKENS.field(n) for n in ("bucket", "words", "at")]), words=words, at=np.arange(len(words), dtype=np.int32))
+            none = pa.nulls(out.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([out.column(0), pa.array([tag] * out.num_rows, pa.int64()), *out.columns[1:], none, none, none], schema=_TOKENS)
+            blob = lambda x: pa.array([x.tobytes()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([tag], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), blob(index.astype(np.int32)), blob(np.concatenate(bounds)), blob(own)], schema=_TOKENS)
 
     return run
 
 
-_TOLD = pa.schema([("tag", pa.int64()), ("doc", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary()), ("own", pa.binary())])
+def _parted(docs: DataFrame, n_buckets: int) -> DataFrame:
+    return stored(docs.mapInArrow(_parts(n_buckets), "bucket long, tag long, words binary, at binary, index binary, bounds binary, own binary"), "word-parts")
 
 
-def _tell(model: Model):
-    def run(asked: pa.Table, placed: pa.Table) -> pa.Table:
-        words, n, cls = join_blobs(placed["words"], np.uint64), join_blobs(placed["counts"], np.int64), join_blobs(placed["classes"], np.uint8)
-        rows = []
-        for r in range(asked.num_rows):
-            tag, own = asked["tag"][r].as_py(), asked["own"][r].as_py()
-            if own is not None:
-                rows.append((tag, None, None, None, None, own))
-                continue
-            h, before, doc = (np.frombuffer(asked[c][r].as_py(), t) for c, t in (("words", np.uint64), ("before", np.uint8), ("doc", np.int32)))
-            at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-            known = words[at] == h if len(words) else np.zeros(len(h), bool)
-            count = np.where(known, n[at], 0) if len(words) else np.zeros(len(h))
-            score = np.where(known, model.known_word(before, np.maximum(count, 1), cls[at]), model.unknown_word(before)) if len(words) else model.unknown_word(before)
-            docs, inverse = np.unique(doc, return_inverse=True)
-            sums = [np.bincount(inverse, weights=x) for x in (known, np.log10(model.base(count)), score)]
-            rows.append((tag, docs.tobytes(), sums[0].astype(np.int32).tobytes(), sums[1].tobytes(), sums[2].tobytes(), None))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TOLD, strict=True)], schema=_TOLD) if rows else _TOLD.empty_table()
+_TOLD = "tag long, words binary, at binary, counts binary, classes binary, index binary, bounds binary, own binary"
+
+
+def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Counts and classes of the words asked for; words that aren't known have the count 0."""
+    words, n, cls = join_blobs(known["words"], np.uint64), join_blobs(known["counts"], np.int64), join_blobs(known["classes"], np.uint8)
+    counts, classes = [], []
+    for blob in asked["words"].to_pylist():
+        h = np.frombuffer(blob, np.uint64)
+        found = _number(words, h)
+        ok = found >= 0
+        c, k = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8)
+        c[ok], k[ok] = n[found[ok]], cls[found[ok]]
+        counts.append(c.tobytes())
+        classes.append(k.tobytes())
+    none = pa.nulls(asked.num_rows, pa.binary())
+    return pa.Table.from_arrays([asked["tag"], asked["words"], asked["at"], pa.array(counts, pa.binary()), pa.array(classes, pa.binary()), none, none, none], names=["tag", "words", "at", "counts", "classes", "index", "bounds", "own"])
+
+
+def _told(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """Each part's documents with its words' counts and classes, to be grouped by tag."""
+    told = parts.where("bucket >= 0").select("bucket", "tag", "words", "at").groupBy("bucket").cogroup(known.select("bucket", "words", "counts", "classes").groupBy("bucket")).applyInArrow(_tell, _TOLD)
+    none = F.lit(None).cast("binary")
+    own = parts.where("bucket < 0").select("tag", *[none.alias(n) for n in ("words", "at", "counts", "classes")], "index", "bounds", "own")
+    return told.unionByName(own)
+
+
+def _read_part(table: pa.Table, k: int):
+    """Words, counts and classes of a part's different words; its tokens' word numbers, bounds and histories; its documents."""
+    at = join_blobs(table["at"], np.int32)
+    words, counts, cls = np.empty(len(at), np.uint64), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    words[at], counts[at], cls[at] = join_blobs(table["words"], np.uint64), join_blobs(table["counts"], np.int64), join_blobs(table["classes"], np.uint8)
+    index, bounds, own = join_blobs(table["index"], np.int32), join_blobs(table["bounds"], np.int64), join_blobs(table["own"], _OWN)
+    before = np.empty(len(index), np.int64)
+    before[1:] = np.where(counts > 0, cls, k + 1)[index[:-1]]  # unknown: k + 1
+    before[bounds[:-1]] = k
+    return words, counts, cls, index, bounds, before, own
+
+
+_TWICE = 255
+
+
+def _neighbours(k: int, n_buckets: int):
+    """Counts of a part's words after each class (k: start), before each (128 + class), and after themselves (255)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        words, _, cls, index, bounds, before, _ = _read_part(table, k)
+        inner = np.ones(len(index), bool)
+        inner[bounds[:-1]] = False
+        second = np.flatnonzero(inner)
+        same = second[index[second] == index[second - 1]]
+        key = np.concatenate([index * np.int64(256) + before, index[second - 1] * np.int64(256) + 128 + cls[index[second]], index[same] * np.int64(256) + _TWICE])
+        key, n = np.unique(key, return_counts=True)
+        own = words[key >> 8]
+        return pa.Table.from_batches([blob_batch((own % U(n_buckets)).astype(np.int64), _BESIDE, words=own, beside=(key & 255).astype(np.uint8), n=n.astype(np.int32))], _BESIDE)
 
     return run
 
 
+def _both(words, beside, known):
+    """Counts of a bucket's words (rows of ``known``) by neighbour code, a slice of words at a time."""
+    at = np.searchsorted(known, join_blobs(words, np.uint64))
+    code, n = join_blobs(beside["beside"], np.uint8), join_blobs(beside["n"], np.int32)
+    order = np.argsort(at, kind="stable")
+    at, code, n = at[order], code[order], n[order]
+    for i in range(0, len(known), 50_000):
+        j = min(i + 50_000, len(known))
+        a, b = np.searchsorted(at, [i, j])
+        yield i, j, np.bincount((at[a:b] - i) * 256 + code[a:b], weights=n[a:b], minlength=(j - i) * 256).reshape(j - i, 256)
+
+
+def _bigrams(k: int):
+    """Class bigrams of a bucket's words, and the words seen once, by the class before."""
+
+    def run(known: pa.Table, beside: pa.Table) -> pa.Table:
+        words, cls = join_blobs(known["words"], np.uint64), join_blobs(known["classes"], np.uint8)
+        table, once = np.zeros((k + 1, k)), np.zeros(k + 1)
+        for i, j, both in _both(beside["words"], beside, words):
+            left = both[:, : k + 1]
+            np.add.at(table.T, cls[i:j], left)
+            once += left[left.sum(axis=1) == 1].sum(axis=0)
+        return pa.table({"table": pa.array([table.tobytes()], pa.binary()), "once": pa.array([once.tobytes()], pa.binary())})
+
+    return run
+
+
+def _move(table: np.ndarray, k: int, turn: int):
+    """A bucket's words with new classes for one half of them."""
+
+    def run(known: pa.Table, beside: pa.Table) -> pa.Table:
+        words, cls = join_blobs(known["words"], np.uint64), join_blobs(known["classes"], np.uint8).copy()
+        for i, j, both in _both(beside["words"], beside, words):
+            me = np.flatnonzero((words[i:j] // U(n_halves)) % U(2) == U(turn % 2))
+            cls[i + me] = best_classes(both[me, : k + 1], both[me, 128 : 128 + k], cls[i + me].astype(np.int64), table, both[me, _TWICE])
+        return pa.table({"bucket": known["bucket"].slice(0, 1), "words": pa.array([words.tobytes()], pa.binary()), "counts": known["counts"].slice(0, 1), "classes": pa.array([cls.tobytes()], pa.binary())})
+
+    n_halves = 1 << 32
+    return run
+
+
+_KNOWN = "bucket long, words binary, counts binary, classes binary"
+
+
+def _all_words(frequent: np.ndarray, cls: np.ndarray):
+    def run(counts: pa.Table, placed: pa.Table) -> pa.Table:
+        words = join_blobs(counts["words"], np.uint64)
+        number = _number(frequent, words)
+        classes = np.empty(len(words), np.uint8)
+        classes[number >= 0] = cls[number[number >= 0]]
+        classes[number < 0] = join_blobs(placed["classes"], np.uint8)  # both in the order of their hashes
+        return pa.table({"bucket": counts["bucket"].slice(0, 1), "words": pa.array([words.tobytes()], pa.binary()), "counts": counts["counts"].slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
+
+    return run
+
+
+def _drop(tables: list[DataFrame]) -> None:
+    """Deletes stored tables that are not read again, and lets Spark drop the shuffles behind them."""
+    spark = tables[0].sparkSession
+    for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    tables.clear()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def settle(parts: DataFrame, known: DataFrame, k: int, total: int, n_buckets: int):
+    """Exchanges all words by the bigrams of adjacent words until a pass over both halves gains too little."""
+    kept, turn = None, 0
+    while True:
+        beside = stored(_told(parts, known).groupBy("tag").applyInArrow(_neighbours(k, n_buckets), "bucket long, words binary, beside binary, n binary"), "beside")
+        pair = lambda: known.groupBy("bucket").cogroup(beside.groupBy("bucket"))  # noqa: B023, E731
+        sums = stored(pair().applyInArrow(_bigrams(k), "table binary, once binary"), "class-bigrams")
+        table, once = _summed(sums, "table", (k + 1) * k).reshape(k + 1, k), _summed(sums, "once", k + 1)
+        gain = _x_log_x(table).sum() - _x_log_x(table.sum(axis=0)).sum() - _x_log_x(table.sum(axis=1)[:k]).sum()
+        if turn % 2 == 0:
+            if kept is not None and gain < kept[0] + SETTLED * total:
+                return (known, table, once) if gain >= kept[0] else kept[1:]
+            if not total:
+                return known, table, once
+            kept = gain, known, table, once
+        known = stored(pair().applyInArrow(_move(table, k, turn), _KNOWN), "known-words")
+        _drop([beside, sums])
+        turn += 1
+
+
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
 
 
-def _together(total: int):
+def _score(model: Model):
     def run(table: pa.Table) -> pa.Table:
-        own = np.frombuffer(next(x for x in table["own"].to_pylist() if x is not None), _OWN).copy()
-        doc = join_blobs(table["doc"], np.int32)
-        for name, kind in (("known", np.int32), ("base", np.float64), ("score", np.float64)):
-            own[name] += np.bincount(doc, weights=join_blobs(table[name], kind), minlength=len(own)).astype(own[name].dtype)
-        columns = [pa.array(own["id"], mask=own["null"] == 1), pa.array(own["held"] == 1), pa.array(own["tokens"]), pa.array(own["known"]), pa.array(np.full(len(own), total, np.int64)), pa.array(own["base"]), pa.array(own["score"]), pa.array(10 ** (-own["score"] / own["tokens"]))]
+        _, counts, cls, index, bounds, before, own = _read_part(table, model.k)
+        doc, n = np.repeat(np.arange(len(own)), np.diff(bounds)), counts[index]
+        score = np.where(n > 0, model.known_word(before, np.maximum(n, 1), cls[index]), model.unknown_word(before))
+        size, known, base, score = (np.bincount(doc, weights=x, minlength=len(own)) for x in (np.ones(len(n)), n > 0, np.log10(model.base(n)), score))
+        columns = [pa.array(own["id"], mask=own["null"] == 1), pa.array(own["held"] == 1), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(own), model.total, np.int64)), pa.array(base), pa.array(score), pa.array(10 ** (-score / size))]
         return pa.table(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
 
     return run
 
 
 def train(docs: DataFrame, text: str = "text", k: int = CLASSES, rounds: int = ROUNDS, mix: float = MIX) -> tuple[Model, DataFrame, int]:
-    """The model of all of docs, the table of its rare words by bucket, and the number of buckets."""
+    """The model of all of docs, the table of its words by bucket, and the number of buckets."""
     spark = docs.sparkSession
     prepare(spark)
     n_buckets = buckets(spark, 1)
@@ -464,19 +587,18 @@ def train(docs: DataFrame, text: str = "text", k: int = CLASSES, rounds: int = R
     cls, table = exchange(pairs, weight, k, rounds)
     placed = rows.mapInArrow(_rare(frequent, cls, n_buckets), f"bucket long, {binary('words', 'beside', 'n')}").groupBy("bucket").applyInArrow(_place(table, k), _PLACED)
     placed = stored(placed, "rare-words")
-    table = table + _summed(placed, "table", (k + 1) * k).reshape(k + 1, k)
-    once = _summed(placed, "once", k + 1)
-    return Model(frequent, weight, cls, table, once, total, kinds, k, mix), placed, n_buckets
+    known = counts.select("bucket", "words", "counts").groupBy("bucket").cogroup(placed.select("bucket", "classes").groupBy("bucket")).applyInArrow(_all_words(frequent, cls), _KNOWN)
+    parts = _parted(rows.select(F.lit(None).cast("long").alias("id"), "text", F.lit(False).alias("held")), n_buckets)
+    known, table, once = settle(parts, stored(known, "known-words"), k, total, n_buckets)
+    return Model(table, once, total, kinds, k, mix), known, n_buckets
 
 
 def perplexities(docs: DataFrame, trained, doc_id: str = "doc_id", text: str = "text", held: Column | None = None) -> DataFrame:
     """Scores each row of docs.  Null texts are empty and score their end token; null ids stay null."""
-    model, placed, n_buckets = trained
+    model, known, n_buckets = trained
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(F.col(text)).alias("text"), (F.lit(False) if held is None else held).alias("held"))
-    asked = rows.mapInArrow(_score(model, n_buckets), "bucket long, tag long, words binary, before binary, doc binary, own binary")
-    told = asked.groupBy("bucket").cogroup(placed.select("bucket", "words", "counts", "classes").groupBy("bucket")).applyInArrow(_tell(model), "tag long, doc binary, known binary, base binary, score binary, own binary")
-    return told.groupBy("tag").applyInArrow(_together(model.total), _SCORED).withColumnRenamed("doc_id", doc_id)
+    return _told(_parted(rows, n_buckets), known).groupBy("tag").applyInArrow(_score(model), _SCORED).withColumnRenamed("doc_id", doc_id)
 
 
 def op6_brown_lm(spark, sf_dir: str) -> DataFrame:

@@ -258,6 +258,34 @@ def test_language_model_base_scores_and_proper_distribution(spark):
         assert mass < 1 + 1e-6 and mass > 0.5  # one, less the share of classes without words
 
 
+def test_every_word_is_a_history(spark, monkeypatch):
+    monkeypatch.setattr(brown, "FREQUENT", 0.08)  # most words are rare
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["the", "a"]) + f" n{rng.randrange(12)} v{rng.randrange(9)}" for _ in range(rng.randrange(9)))) for i in range(50)] + [(50, "the new n1 v1"), (51, None), (52, "v3 v3 v3")]
+    docs = table(spark, rows)
+    model, placed, _ = trained = brown.train(docs.where("doc_id <> 50"), k=3, rounds=2)
+    cls, count = {}, {}
+    for r in placed.collect():
+        for w, c, n in zip(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["classes"], np.uint8), np.frombuffer(r["counts"], np.int64), strict=True):
+            cls[int(w)], count[int(w)] = int(c), int(n)
+    hashes = {i: [int(h) for h in brown.tokens(*textkit.column_bytes(pa.array([t or ""])))[0]] for i, t in rows}
+    bigrams, once = np.zeros((4, 3)), np.zeros(4)
+    for i, words in hashes.items():
+        for before, w in zip([None, *words], words, strict=False) if i != 50 else ():
+            s = 3 if before is None else cls[before]
+            bigrams[s, cls[w]] += 1
+            once[s] += count[w] == 1
+    want = brown.Model(bigrams, once, sum(count.values()), len(count), 3, brown.MIX)
+    assert np.allclose(model.follow, want.follow) and np.allclose(model.unknown, want.unknown) and (model.class_size == want.class_size).all()
+    got = {r.doc_id: r.score for r in brown.perplexities(docs, trained).collect()}
+    for i, words in hashes.items():
+        score = 0.0
+        for before, w in zip([None, *words], words, strict=False):
+            s = np.array(3 if before is None else cls.get(before, 4))
+            score += want.known_word(s, np.float64(count[w]), np.array(cls[w])) if w in count else want.unknown_word(s)
+        assert math.isclose(got[i], score, rel_tol=1e-9)
+
+
 def test_exchange_gains_are_likelihood_differences():
     rng = np.random.default_rng(3)
     n, k = 12, 3
