@@ -8,7 +8,8 @@ minimiser), sent to the bucket of that minimiser, and there the transform and co
 strings are built column by column: each round inserts one symbol per string by two sequential passes over
 external files.  Suffixes whose common prefix reaches 100 bytes are equal windows.
 
-Hot passages: equal strings are collapsed before each shuffle; minimisers that occur very often rank last when
+Hot passages: where a task holds more than ``COPIES`` equal strings, one stands for them before the shuffle, so
+a passage in a third of all documents reaches its bucket once for each group of documents; minimisers that occur very often rank last when
 a window chooses its minimiser, so only windows that lie wholly in a hot passage, which are equal and collapse,
 still meet at one.
 """
@@ -31,6 +32,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: A minimiser with more than this share of all strings ranks last; at most 1 / HOT_SHARE are broadcast.
 HOT_SHARE = 1 / 2000
+#: Equal strings at hand that go on to the construction; more of them are a hot group, of which one goes on.
+COPIES = 2
 #: Most strings in one construction, unless one minimiser has more.
 BUILD = 8_000
 MAX_RUN = 255
@@ -359,13 +362,14 @@ def _same_strings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key
     return out
 
 
-def _collapse(data, starts, runs, key, ids, at):
-    """Of equal strings the first stays; the others' bytes are gone: indices of both."""
+def _collapse(data, starts, runs, key, ids, at, most: int | None = None):
+    """Of more than ``most`` equal strings the first stays and the others' bytes are gone: indices of both."""
     same = _same_strings(data, starts, runs + LENGTH - 1, key)
     order = np.lexsort((at, ids, same))
-    first = np.ones(len(order), bool)
-    first[1:] = same[order][1:] != same[order][:-1]
-    return np.sort(order[first]), order[~first]
+    stay = np.ones(len(order), bool)
+    stay[1:] = same[order][1:] != same[order][:-1]
+    stay |= np.bincount(same)[same[order]] <= (COPIES if most is None else most)
+    return np.sort(order[stay]), order[~stay]
 
 
 def _cut(n_buckets: int, n_groups: int, hot: np.ndarray, doc_id: str, text: str):
