@@ -6,12 +6,11 @@ training part has a class of its own, whose probability after s is the share of
 (Good-Turing); it sums to one over the known words and one unknown word.
 
 Classes come from the exchange algorithm: a word moves to the class that raises the likelihood of the class
-bigrams most.  As in distributed versions of it, the words of a round are weighed in parallel against the
-counts of the last round, one half of the words at a time.  Words with a share of at least ``FREQUENT`` of all
-tokens, at most 1 / FREQUENT whatever the input, are exchanged in this way first and broadcast; every other word,
-in any number, is placed where its counts beside the classes of frequent words make it likeliest.  From there all
-words, frequent or rare, are exchanged by the bigrams of adjacent words, in the buckets of their hashes, until the
-likelihood settles; these bigrams are the model.
+bigrams most.  Words with a share of at least ``CORE`` of all tokens, at most 1 / CORE whatever the input, are
+exchanged one after another on the driver.  Every other word, in any number, is placed by its placed neighbours
+and from then on exchanged like all others by the bigrams of adjacent words, in the buckets of their hashes: a
+turn moves a share of all words at once, the likelihood is counted anew, and a turn that lowers it is taken back.
+The turns end when the likelihood settles; the bigrams then are the model.
 
 Counts travel as packed arrays by bucket of the word's hash, summed at hand before they are shuffled.
 """
@@ -22,21 +21,24 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import buckets, prepare, stored, text_of
-from .textkit import FOLDED_VALUES, U, blob_batch, column_bytes, join_blobs, slices, span_hashes, word_spans
+from .frames import buckets_for, prepare, stored, text_of
+from .textkit import FOLDED_VALUES, U, blob_batch, column_bytes, join_blobs, slices, span_hashes, squeeze, stretch, word_spans
 
-FREQUENT = 1 / 20_000
+CORE = 1 / 1000
 CLASSES, ROUNDS, MIX = 40, 10, 0.95
-#: Gain of a pass, in nats a token, below which the classes of all words have settled.
+#: Gain of a turn, in nats a token, below which the classes of all words have settled.
 SETTLED = 1e-3
+#: Tokens of a word from which the exact criterion is used.
+EXACT = 200
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 48_000_000
 END = U(0x454E44)
 _FLUSH_TOKENS = 2_000_000
-_FLUSH_DOCS = 2048
+_PART_TOKENS = 1_500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,23 +66,6 @@ def _number(frequent: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(frequent[at] == h, at, -1)
 
 
-def _last_frequent(number: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
-    """The number of the last frequent token before each token in its document, or ``start``."""
-    at = np.maximum.accumulate(np.where(number >= 0, np.arange(len(number)), -1))
-    before = np.concatenate([[-1], at[:-1]])
-    begin = np.repeat(bounds[:-1], np.diff(bounds))
-    return np.where(before >= begin, number[before], start)
-
-
-def _next_frequent(number: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The number of the first frequent token after each token in its document, or -1."""
-    n = len(number)
-    at = np.minimum.accumulate(np.where(number >= 0, np.arange(n), n)[::-1])[::-1]
-    after = np.concatenate([at[1:], [n]])
-    end = np.repeat(bounds[1:], np.diff(bounds))
-    return np.where(after < end, number[np.minimum(after, n - 1)], -1)
-
-
 def _each(batches, text: int):
     """Token hashes and bounds of parts of the batches."""
     for batch in batches:
@@ -121,46 +106,37 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table["bucket"].slice(0, 1), "words": pa.array([words.tobytes()], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary()), "total": pa.array([int(n.sum())], pa.int64()), "kinds": pa.array([len(words)], pa.int64())})
 
 
-_PAIRS = pa.schema([("bucket", pa.int64()), ("side", pa.int32()), ("own", pa.binary()), ("other", pa.binary()), ("n", pa.binary())])
-
+def _core_pairs(core: np.ndarray):
+    """Counts of adjacent tokens that are core words (or a document's start and its first), packed by first word."""
+    start = len(core)
+    schema = pa.schema([("first", pa.int64()), ("second", pa.binary()), ("n", pa.binary())])
 
-def _pairs(frequent: np.ndarray, n_buckets: int):
-    """Counts of (last frequent word or start, frequent word): side 0 by the second, side 1 by the first."""
-    start = len(frequent)
+    def flush(held):
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        return blob_batch(key // (start + 1), schema, second=(key % (start + 1)).astype(np.int32), n=n.astype(np.int64))
 
     def run(batches):
         held, size = [], 0
         for h, bounds in _each(batches, 0):
-            number = _number(frequent, h)
-            before = _last_frequent(number, bounds, start)
-            ok = number >= 0
-            held.append(before[ok] * (start + 1) + number[ok])
+            number = _number(core, h)
+            before = np.concatenate([[start], number[:-1]])
+            before[bounds[:-1]] = start
+            both = (before >= 0) & (number >= 0)
+            held.append(before[both] * (start + 1) + number[both])
             size += len(held[-1])
             if size >= _FLUSH_TOKENS:
-                yield from flush(held)
-                held, size = [], 0
+                out, held, size = flush(held), [], 0
+                if out is not None:
+                    yield out
         if size:
-            yield from flush(held)
-
-    def flush(held):
-        key, n = np.unique(np.concatenate(held), return_counts=True)
-        a, b, n = (key // (start + 1)).astype(np.int32), (key % (start + 1)).astype(np.int32), n.astype(np.int32)
-        for side, own, other in ((0, b, a), (1, a, b)):
-            out = blob_batch((own % n_buckets).astype(np.int64), pa.schema([f for f in _PAIRS if f.name != "side"]), own=own, other=other, n=n)
-            yield pa.RecordBatch.from_arrays([out.column(0), pa.array([side] * out.num_rows, pa.int32()), *out.columns[1:]], schema=_PAIRS)
+            yield flush(held)
 
     return run
 
 
 def _sum_pairs(table: pa.Table) -> pa.Table:
-    rows = []
-    for side in (0, 1):
-        part = table.filter(pa.compute.equal(table["side"], side))
-        own, other = join_blobs(part["own"], np.int32).astype(np.int64), join_blobs(part["other"], np.int32).astype(np.int64)
-        key, n = _unique_sum(own << 32 | other, join_blobs(part["n"], np.int32))
-        rows.append((side, (key >> 32).astype(np.int32).tobytes(), (key & (2**32 - 1)).astype(np.int32).tobytes(), n.tobytes()))
-    side, own, other, n = zip(*rows, strict=True)
-    return pa.table([pa.array([table["bucket"][0].as_py()] * 2, pa.int64()), pa.array(side, pa.int32()), pa.array(own, pa.binary()), pa.array(other, pa.binary()), pa.array(n, pa.binary())], schema=_PAIRS)
+    second, n = _unique_sum(join_blobs(table["second"], np.int32).astype(np.int64), join_blobs(table["n"], np.int64))
+    return pa.table({"first": table["first"].slice(0, 1), "second": pa.array([second.astype(np.int32).tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
 
 def _x_log_x(x: np.ndarray) -> np.ndarray:
@@ -199,350 +175,321 @@ def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, table: np
     return out
 
 
-def _beside(own, other, n, cls, k: int, rows: np.ndarray) -> np.ndarray:
-    """Counts of each word (one of ``rows``, ascending) beside each class."""
-    at = np.searchsorted(rows, own)
-    return np.bincount(at * (k + 1) + cls[other], weights=n, minlength=len(rows) * (k + 1)).reshape(len(rows), k + 1)
-
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the classes given the class before, and of the words given their class, less a constant."""
+    return float(_x_log_x(table).sum() - _x_log_x(table.sum(axis=0)).sum() - _x_log_x(table.sum(axis=1)).sum())
 
-def _unpack(batch, k):
-    return (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in (("own", np.int32), ("other", np.int32), ("n", np.int64)))
 
+def exchange(pairs: np.ndarray, weight: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Classes of the core words, moved one after another; each move raises the likelihood.
 
-def exchange(pairs: DataFrame, weight: np.ndarray, k: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the frequent words (start: class k), and the class bigrams, start last."""
+    pairs: counts of (word before, word), the start in the last row; weight: counts of the words.
+    """
     f = len(weight)
-    rank = np.empty(f, np.int64)
-    rank[np.argsort(-weight, kind="stable")] = np.arange(f)
-    cls = np.append(rank % k, k)
-
-    def bigrams(cls):
-        def run(batches):
-            for batch in batches:
-                cells = np.zeros((k + 1) * (k + 1))
-                for r in range(batch.num_rows):
-                    own, other, n = _unpack(batch, r)
-                    cells += np.bincount(cls[other] * (k + 1) + cls[own], weights=n, minlength=len(cells))
-                at = np.flatnonzero(cells)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
-
-        rows = pairs.where("side = 0").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # classes squared
-        table = np.zeros((k + 1) * (k + 1))
-        for r in rows:
-            table[r[0]] = r[1]
-        return table.reshape(k + 1, k + 1)[:, :k]
-
-    def moves(cls, table, turn):
-        def run(groups):
-            own, other, n = (np.frombuffer(groups.filter(pa.compute.equal(groups["side"], 0))[c][0].as_py(), t) for c, t in (("own", np.int32), ("other", np.int32), ("n", np.int64)))
-            r_own, r_other, r_n = (np.frombuffer(groups.filter(pa.compute.equal(groups["side"], 1))[c][0].as_py(), t) for c, t in (("own", np.int32), ("other", np.int32), ("n", np.int64)))
-            words = np.unique(own)
-            keep = (words // 2 + words // 3 + turn) % 2 == 0 if turn >= 0 else np.ones(len(words), bool)
-            ok = r_own < f
-            left = _beside(own, other, n, cls, k, words)
-            words_right = np.isin(r_own, words) & ok
-            right = _beside(r_own[words_right], r_other[words_right], r_n[words_right], cls, k, words)[:, :k]
-            same = own == other
-            twice = np.zeros(len(words))
-            twice[np.searchsorted(words, own[same])] = n[same]
-            best = best_classes(left[keep], right[keep], cls[words[keep]], table, twice[keep])
-            return pa.table({"word": pa.array(words[keep].astype(np.int64)), "class": pa.array(best.astype(np.int64))})
-
-        return pairs.groupBy("bucket").applyInArrow(run, "word long, class long").toArrow()
-
-    for turn in range(rounds):
-        found = moves(cls, bigrams(cls), turn)
-        cls = cls.copy()
-        cls[found["word"].to_numpy()] = found["class"].to_numpy()
-    return cls, bigrams(cls)
-
-
-_BESIDE = pa.schema([("bucket", pa.int64()), ("words", pa.binary()), ("beside", pa.binary()), ("n", pa.binary())])
-
-
-def _rare(frequent: np.ndarray, cls: np.ndarray, n_buckets: int):
-    """Counts of rare words after each class (0 .. k, k: start) and before each (128 + class)."""
-    start = len(frequent)
-
-    def run(batches):
-        held, size = [], 0
-        for h, bounds in _each(batches, 0):
-            number = _number(frequent, h)
-            before, after = cls[_last_frequent(number, bounds, start)], _next_frequent(number, bounds)
-            rare = np.flatnonzero(number < 0)
-            more = rare[after[rare] >= 0]
-            held.append((np.concatenate([h[rare], h[more]]), np.concatenate([before[rare], 128 + cls[after[more]]]).astype(np.uint8)))
-            size += len(rare) + len(more)
-            if size >= _FLUSH_TOKENS:
-                yield flush(held)
-                held, size = [], 0
-        if size:
-            yield flush(held)
-
-    def flush(held):
-        words, beside = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((beside, words))
-        words, beside = words[order], beside[order]
-        at = np.flatnonzero(np.append(True, (words[1:] != words[:-1]) | (beside[1:] != beside[:-1])))
-        n = np.diff(np.append(at, len(words)))
-        return blob_batch((words[at] % U(n_buckets)).astype(np.int64), _BESIDE, words=words[at], beside=beside[at], n=n.astype(np.int32))
-
-    return run
-
-
-_PLACED = "bucket long, words binary, counts binary, classes binary, table binary, once binary"
+    order = np.argsort(-weight, kind="stable")
+    cls = np.empty(f + 1, np.int64)
+    cls[order], cls[f] = np.arange(f) % k, k
+    table = np.zeros((k + 1, k))
+    np.add.at(table, (cls[:, None].repeat(f, 1), cls[:f][None, :].repeat(f + 1, 0)), pairs)
+    for _ in range(rounds):
+        moved = False
+        for w in order:
+            a, twice = cls[w], pairs[w, w]
+            left, right = np.bincount(cls, weights=pairs[:, w], minlength=k + 1), np.bincount(cls[:f], weights=pairs[w], minlength=k)
+            b = best_classes(left[None], right[None], cls[w : w + 1], table, np.array([twice]))[0]
+            if b != a:
+                left[a] -= twice
+                right[a] -= twice
+                for c, sign in ((a, -1), (b, 1)):
+                    table[:, c] += sign * left
+                    table[c] += sign * right
+                    table[c, c] += sign * twice
+                cls[w], moved = b, True
+        if not moved:
+            break
+    return cls[:f]
 
 
-def _place(table: np.ndarray, k: int):
-    """Places a bucket's rare words: counts and classes; class bigrams and words seen once, by the class before."""
-    chance = (table + 0.1) / (table.sum(axis=1, keepdims=True) + 0.1 * k)
-    follow = np.log(chance)
-    size = np.log(table.sum(axis=0) + 1.0)
-
-    def run(rows: pa.Table) -> pa.Table:
-        words, beside, n = join_blobs(rows["words"], np.uint64), join_blobs(rows["beside"], np.uint8), join_blobs(rows["n"], np.int32)
-        known, at = np.unique(words, return_inverse=True)
-        cls, counts = np.empty(len(known), np.uint8), np.empty(len(known), np.int64)
-        bigrams, once = np.zeros((k + 1, k)), np.zeros(k + 1)
-        order = np.argsort(at, kind="stable")
-        at, beside, n = at[order], beside[order], n[order]
-        for i in range(0, len(known), 50_000):
-            j = min(i + 50_000, len(known))
-            a, b = np.searchsorted(at, [i, j])
-            both = np.bincount((at[a:b] - i) * 256 + beside[a:b], weights=n[a:b], minlength=(j - i) * 256).reshape(j - i, 256)
-            left, right = both[:, : k + 1], both[:, 128 : 128 + k]
-            total = left.sum(axis=1)
-            best = np.argmax(left @ follow + right @ follow[:k].T - total[:, None] * size, axis=1)
-            cls[i:j], counts[i:j] = best, total
-            np.add.at(bigrams.T, best, left)
-            once += left[total == 1].sum(axis=0)
-        return pa.table({"bucket": rows["bucket"].slice(0, 1), "words": pa.array([known.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary()), "classes": pa.array([cls.tobytes()], pa.binary()), "table": pa.array([bigrams.tobytes()], pa.binary()), "once": pa.array([once.tobytes()], pa.binary())})
+_KNOWN = "bucket long, words binary, counts binary, classes binary"
+_UNPLACED, _TWICE = 254, 255
 
-    return run
 
+def _with_core(core: np.ndarray, cls: np.ndarray):
+    """Buckets of counts with the classes of core words; all others are unplaced."""
 
-def _cells(name: str):
     def run(batches):
         for batch in batches:
-            total = 0
-            for r in range(batch.num_rows):
-                total = total + np.frombuffer(batch.column(0)[r].as_py(), np.float64)
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "n"])
+            classes = []
+            for blob in batch.column(1).to_pylist():
+                number = _number(core, np.frombuffer(blob, np.uint64))
+                own = np.full(len(number), _UNPLACED, np.uint8)
+                own[number >= 0] = cls[number[number >= 0]]
+                classes.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(classes, pa.binary())], names=["bucket", "words", "counts", "classes"])
 
     return run
 
 
-def _summed(rows: DataFrame, name: str, size: int) -> np.ndarray:
-    out = np.zeros(size)
-    for r in rows.select(name).mapInArrow(_cells(name), "cell long, n double").groupBy("cell").agg(F.sum("n")).collect():
-        out[r[0]] = r[1]
-    return out
-
-
-class Model:
-    """The broadcast part of a trained model: its size doesn't grow with the corpus."""
-
-    counts, cls = (), ()  # all words are in the table of known ones
-
-    def __init__(self, table, once, total, kinds, k, mix):
-        self.total, self.kinds, self.k, self.mix = total, kinds, k, mix
-        self.class_size = np.maximum(table.sum(axis=0), 1.0)
-        table, once = np.vstack([table, table.sum(axis=0)]), np.append(once, once.sum())  # after an unknown word: as after any
-        seen = table.sum(axis=1)
-        self.unknown = np.clip((once + 0.5) / (seen + 1.0), 1e-9, 0.9)
-        self.follow = (table + 0.5) / (seen + 0.5 * k)[:, None] * (1 - self.unknown)[:, None]
-
-    def base(self, n):
-        return (n + 1.0) / (self.total + self.kinds + 1.0)
-
-    def known_word(self, before, n, cls):
-        """log10 probability of words with counts n and classes after the classes before."""
-        return np.log10(self.mix * self.follow[before, cls] * n / self.class_size[cls] + (1 - self.mix) * self.base(n))
-
-    def unknown_word(self, before):
-        return np.log10(self.mix * self.unknown[before] + (1 - self.mix) * self.base(0.0))
-
-
-_TOKENS = pa.schema([("bucket", pa.int64()), ("tag", pa.int64()), ("words", pa.binary()), ("at", pa.binary()), ("index", pa.binary()), ("bounds", pa.binary()), ("own", pa.binary())])
+# A part is some documents of one task: a row of token numbers, and a row of its different words for each bucket.
+# Its words are numbered by bucket and hash, so answers in the order of the buckets are in the order of numbers.
+_PARTS = pa.schema([("bucket", pa.int64()), ("tag", pa.int64()), ("words", pa.binary()), ("index", pa.binary()), ("bounds", pa.binary()), ("own", pa.binary())])
 _OWN = np.dtype([("id", np.int64), ("null", np.int8), ("held", np.int8)])
 
 
 def _parts(n_buckets: int):
-    """Documents as numbers of their part's different words (bucket -1), and those words, asked of their buckets."""
-
     def run(batches):
-        partition, part = TaskContext.get().partitionId(), 0
+        partition, part, held, size = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             buf, off = column_bytes(batch.column(1))
             ids, own = batch.column(0), np.zeros(batch.num_rows, _OWN)
             own["null"], own["id"], own["held"] = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            hashes, bounds = [], [np.zeros(1, np.int64)]
             for i, j in slices(off):
-                h, b = tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                hashes.append(h)
-                bounds.append(b[1:] + bounds[-1][-1])
-            words, index = np.unique(np.concatenate(hashes), return_inverse=True)
-            tag, part = partition << 32 | part, part + 1
-            out = blob_batch((words % U(n_buckets)).astype(np.int64), pa.schema([_TOKENS.field(n) for n in ("bucket", "words", "at")]), words=words, at=np.arange(len(words), dtype=np.int32))
-            none = pa.nulls(out.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([out.column(0), pa.array([tag] * out.num_rows, pa.int64()), *out.columns[1:], none, none, none], schema=_TOKENS)
-            blob = lambda x: pa.array([x.tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([tag], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), blob(index.astype(np.int32)), blob(np.concatenate(bounds)), blob(own)], schema=_TOKENS)
+                held.append((*tokens(buf[off[i] : off[j]], off[i : j + 1] - off[i]), own[i:j]))
+                size += len(held[-1][0])
+                if size >= _PART_TOKENS:
+                    yield from flush(held, partition << 32 | part)
+                    part, held, size = part + 1, [], 0
+        if held:
+            yield from flush(held, partition << 32 | part)
+
+    def flush(held, tag):
+        sizes = np.concatenate([np.diff(b) for _, b, _ in held])
+        words, index = np.unique(np.concatenate([h for h, _, _ in held]), return_inverse=True)
+        bucket = (words % U(n_buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        asked = blob_batch(bucket[order], pa.schema([_PARTS.field("bucket"), _PARTS.field("words")]), words=words[order])
+        none = [pa.nulls(asked.num_rows, pa.binary())] * 3
+        yield pa.RecordBatch.from_arrays([asked.column(0), pa.array([tag] * asked.num_rows, pa.int64()), asked.column(1), *none], schema=_PARTS)
+        blob = lambda x: pa.array([squeeze(x)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([tag], pa.int64()), pa.nulls(1, pa.binary()), blob(place[index].astype(np.int32)), blob(np.concatenate([[0], np.cumsum(sizes)])), pa.array([np.concatenate([o for _, _, o in held]).tobytes()], pa.binary())], schema=_PARTS)
 
     return run
 
 
 def _parted(docs: DataFrame, n_buckets: int) -> DataFrame:
-    return stored(docs.mapInArrow(_parts(n_buckets), "bucket long, tag long, words binary, at binary, index binary, bounds binary, own binary"), "word-parts")
+    return stored(docs.mapInArrow(_parts(n_buckets), "bucket long, tag long, words binary, index binary, bounds binary, own binary"), "word-parts")
 
 
-_TOLD = "tag long, words binary, at binary, counts binary, classes binary, index binary, bounds binary, own binary"
+def _route(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Places of the words that each part asks for in their bucket, as steps."""
+    words = join_blobs(known["words"], np.uint64)
+    steps = [squeeze(np.diff(np.searchsorted(words, np.frombuffer(b, np.uint64)), prepend=0).astype(np.int32)) for b in asked["words"].to_pylist()]
+    return pa.table({"bucket": asked["bucket"], "tag": asked["tag"], "steps": pa.array(steps, pa.binary())})
 
 
-def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Counts and classes of the words asked for; words that aren't known have the count 0."""
-    words, n, cls = join_blobs(known["words"], np.uint64), join_blobs(known["counts"], np.int64), join_blobs(known["classes"], np.uint8)
-    counts, classes = [], []
-    for blob in asked["words"].to_pylist():
-        h = np.frombuffer(blob, np.uint64)
-        found = _number(words, h)
-        ok = found >= 0
-        c, k = np.zeros(len(h), np.int64), np.zeros(len(h), np.uint8)
-        c[ok], k[ok] = n[found[ok]], cls[found[ok]]
-        counts.append(c.tobytes())
-        classes.append(k.tobytes())
-    none = pa.nulls(asked.num_rows, pa.binary())
-    return pa.Table.from_arrays([asked["tag"], asked["words"], asked["at"], pa.array(counts, pa.binary()), pa.array(classes, pa.binary()), none, none, none], names=["tag", "words", "at", "counts", "classes", "index", "bounds", "own"])
-
-
-def _told(parts: DataFrame, known: DataFrame) -> DataFrame:
-    """Each part's documents with its words' counts and classes, to be grouped by tag."""
-    told = parts.where("bucket >= 0").select("bucket", "tag", "words", "at").groupBy("bucket").cogroup(known.select("bucket", "words", "counts", "classes").groupBy("bucket")).applyInArrow(_tell, _TOLD)
-    none = F.lit(None).cast("binary")
-    own = parts.where("bucket < 0").select("tag", *[none.alias(n) for n in ("words", "at", "counts", "classes")], "index", "bounds", "own")
-    return told.unionByName(own)
-
-
-def _read_part(table: pa.Table, k: int):
-    """Words, counts and classes of a part's different words; its tokens' word numbers, bounds and histories; its documents."""
-    at = join_blobs(table["at"], np.int32)
-    words, counts, cls = np.empty(len(at), np.uint64), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    words[at], counts[at], cls[at] = join_blobs(table["words"], np.uint64), join_blobs(table["counts"], np.int64), join_blobs(table["classes"], np.uint8)
-    index, bounds, own = join_blobs(table["index"], np.int32), join_blobs(table["bounds"], np.int64), join_blobs(table["own"], _OWN)
-    before = np.empty(len(index), np.int64)
-    before[1:] = np.where(counts > 0, cls, k + 1)[index[:-1]]  # unknown: k + 1
-    before[bounds[:-1]] = k
-    return words, counts, cls, index, bounds, before, own
+def _classes_at(routes: pa.Table, known: pa.Table) -> pa.Table:
+    cls = join_blobs(known["classes"], np.uint8)
+    found = [squeeze(cls[np.cumsum(stretch(b, np.int32))]) for b in routes["steps"].to_pylist()]
+    return pa.table({"tag": routes["tag"], "bucket": routes["bucket"], "steps": routes["steps"], "classes": pa.array(found, pa.binary())})
 
 
-_TWICE = 255
+_BESIDE = pa.schema([("bucket", pa.int64()), ("place", pa.binary()), ("beside", pa.binary()), ("n", pa.binary())])
 
 
-def _neighbours(k: int, n_buckets: int):
-    """Counts of a part's words after each class (k: start), before each (128 + class), and after themselves (255)."""
+def _weigh(k: int):
+    """A part's class bigrams (bucket -1), and by bucket the counts of its words after each class (k: start), before
+    each (128 + class) and after themselves (255)."""
 
     def run(table: pa.Table) -> pa.Table:
-        words, _, cls, index, bounds, before, _ = _read_part(table, k)
+        order = np.argsort(table["bucket"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        cls = np.concatenate([stretch(b, np.uint8) for b in table["classes"].to_pylist()[1:]]).astype(np.int64)
+        place = [np.cumsum(stretch(b, np.int32)) for b in table["steps"].to_pylist()[1:]]
+        bucket = np.repeat(table["bucket"].to_numpy()[1:], [len(p) for p in place])
+        place = np.concatenate(place)
+        index, bounds = stretch(table["index"][0].as_py(), np.int32).astype(np.int64), stretch(table["bounds"][0].as_py(), np.int64)
+        before, own = np.empty(len(index), np.int64), cls[index]
+        before[1:], before[bounds[:-1]] = own[:-1], k
+        after = np.full(len(index), _UNPLACED)
         inner = np.ones(len(index), bool)
         inner[bounds[:-1]] = False
         second = np.flatnonzero(inner)
+        after[second - 1] = own[second]
         same = second[index[second] == index[second - 1]]
-        key = np.concatenate([index * np.int64(256) + before, index[second - 1] * np.int64(256) + 128 + cls[index[second]], index[same] * np.int64(256) + _TWICE])
-        key, n = np.unique(key, return_counts=True)
-        own = words[key >> 8]
-        return pa.Table.from_batches([blob_batch((own % U(n_buckets)).astype(np.int64), _BESIDE, words=own, beside=(key & 255).astype(np.uint8), n=n.astype(np.int32))], _BESIDE)
+        left, right = before != _UNPLACED, after != _UNPLACED
+        key, n = np.unique(np.concatenate([index[left] << 8 | before[left], index[right] << 8 | 128 + after[right], index[same] << 8 | _TWICE]), return_counts=True)
+        both = left & (own != _UNPLACED)
+        cells = np.bincount(before[both] * k + own[both], minlength=(k + 1) * k).astype(np.float64)
+        word = key >> 8
+        cut = np.append(np.flatnonzero(np.diff(bucket[word], prepend=-1)), len(word)) if len(word) else np.zeros(1, np.int64)
+        rows = [(int(bucket[word[a]]), squeeze(np.diff(place[word[a:b]], prepend=0).astype(np.int32)), squeeze((key[a:b] & 255).astype(np.uint8)), squeeze(n[a:b].astype(np.int32))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip((-1, cells.tobytes(), None, None), *rows, strict=True), _BESIDE, strict=True)], schema=_BESIDE)
 
     return run
 
 
-def _both(words, beside, known):
-    """Counts of a bucket's words (rows of ``known``) by neighbour code, a slice of words at a time."""
-    at = np.searchsorted(known, join_blobs(words, np.uint64))
-    code, n = join_blobs(beside["beside"], np.uint8), join_blobs(beside["n"], np.int32)
+def _both(beside: pa.Table, size: int):
+    """Counts of a bucket's words by neighbour code, a slice of words at a time."""
+    at = [np.cumsum(stretch(b, np.int32)) for b in beside["place"].to_pylist()]
+    at = np.concatenate([np.zeros(0, np.int64), *at])
+    code, n = (np.concatenate([np.zeros(0, t), *[stretch(b, t) for b in beside[c].to_pylist()]]) for c, t in (("beside", np.uint8), ("n", np.int32)))
     order = np.argsort(at, kind="stable")
     at, code, n = at[order], code[order], n[order]
-    for i in range(0, len(known), 50_000):
-        j = min(i + 50_000, len(known))
+    for i in range(0, size, 20_000):
+        j = min(i + 20_000, size)
         a, b = np.searchsorted(at, [i, j])
         yield i, j, np.bincount((at[a:b] - i) * 256 + code[a:b], weights=n[a:b], minlength=(j - i) * 256).reshape(j - i, 256)
 
 
-def _bigrams(k: int):
-    """Class bigrams of a bucket's words, and the words seen once, by the class before."""
+def _once(k: int):
+    """Words seen once, by the class before."""
 
     def run(known: pa.Table, beside: pa.Table) -> pa.Table:
-        words, cls = join_blobs(known["words"], np.uint64), join_blobs(known["classes"], np.uint8)
-        table, once = np.zeros((k + 1, k)), np.zeros(k + 1)
-        for i, j, both in _both(beside["words"], beside, words):
-            left = both[:, : k + 1]
-            np.add.at(table.T, cls[i:j], left)
-            once += left[left.sum(axis=1) == 1].sum(axis=0)
-        return pa.table({"table": pa.array([table.tobytes()], pa.binary()), "once": pa.array([once.tobytes()], pa.binary())})
+        single, once = join_blobs(known["counts"], np.int64) == 1, np.zeros(k + 1)
+        for i, j, both in _both(beside, len(single)):
+            once += both[single[i:j], : k + 1].sum(axis=0)
+        return pa.table({"once": pa.array([once.tobytes()], pa.binary())})
 
     return run
 
 
-def _move(table: np.ndarray, k: int, turn: int):
-    """A bucket's words with new classes for one half of them."""
-
-    def run(known: pa.Table, beside: pa.Table) -> pa.Table:
-        words, cls = join_blobs(known["words"], np.uint64), join_blobs(known["classes"], np.uint8).copy()
-        for i, j, both in _both(beside["words"], beside, words):
-            me = np.flatnonzero((words[i:j] // U(n_halves)) % U(2) == U(turn % 2))
-            cls[i + me] = best_classes(both[me, : k + 1], both[me, 128 : 128 + k], cls[i + me].astype(np.int64), table, both[me, _TWICE])
-        return pa.table({"bucket": known["bucket"].slice(0, 1), "words": pa.array([words.tobytes()], pa.binary()), "counts": known["counts"].slice(0, 1), "classes": pa.array([cls.tobytes()], pa.binary())})
-
-    n_halves = 1 << 32
-    return run
-
-
-_KNOWN = "bucket long, words binary, counts binary, classes binary"
+def _move(table: np.ndarray, k: int, share: int, turn: int):
+    """A bucket's words, with new classes for those whose turn it is and for unplaced ones.
 
+    Words of at least ``EXACT`` tokens go by the exact change of the likelihood, others by its first order, which
+    is near it for counts that are small beside those of classes.  An unplaced word without placed neighbours
+    takes the class of its hash.
+    """
+    log = np.log(table + 0.5)
+    after, size, lead = log[:k].T, np.log(table.sum(axis=0) + 0.5), np.log(table.sum(axis=1)[:k] + 0.5)
 
-def _all_words(frequent: np.ndarray, cls: np.ndarray):
-    def run(counts: pa.Table, placed: pa.Table) -> pa.Table:
-        words = join_blobs(counts["words"], np.uint64)
-        number = _number(frequent, words)
-        classes = np.empty(len(words), np.uint8)
-        classes[number >= 0] = cls[number[number >= 0]]
-        classes[number < 0] = join_blobs(placed["classes"], np.uint8)  # both in the order of their hashes
-        return pa.table({"bucket": counts["bucket"].slice(0, 1), "words": pa.array([words.tobytes()], pa.binary()), "counts": counts["counts"].slice(0, 1), "classes": pa.array([classes.tobytes()], pa.binary())})
+    def run(known: pa.Table, beside: pa.Table) -> pa.Table:
+        words, counts, cls = join_blobs(known["words"], np.uint64), join_blobs(known["counts"], np.int64), join_blobs(known["classes"], np.uint8).copy()
+        for i, j, both in _both(beside, len(words)):
+            own, now = words[i:j], cls[i:j].astype(np.int64)
+            left, right = both[:, : k + 1], both[:, 128 : 128 + k]
+            gain = left @ log + right @ after - left.sum(axis=1)[:, None] * size - right.sum(axis=1)[:, None] * lead
+            best, new = np.argmax(gain, axis=1), now == _UNPLACED
+            alone = new & (left.sum(axis=1) + right.sum(axis=1) == 0)
+            best[alone] = (own[alone] >> U(17)) % U(k)
+            me = (own >> U(40)) % U(share) == U(turn % share)
+            rows = np.arange(len(own))
+            move = new | (me & ~new & (gain[rows, best] > gain[rows, np.where(new, 0, now)] + 1e-9))
+            exact = np.flatnonzero(me & ~new & (counts[i:j] >= EXACT))
+            move[exact] = True
+            best[exact] = best_classes(left[exact], right[exact], now[exact], table, both[exact, _TWICE])
+            cls[i:j][move] = best[move]
+        return pa.table({"bucket": known["bucket"].slice(0, 1), "words": known["words"].slice(0, 1), "counts": known["counts"].slice(0, 1), "classes": pa.array([cls.tobytes()], pa.binary())})
 
     return run
 
 
-def _drop(tables: list[DataFrame]) -> None:
+def _drop(*tables: DataFrame) -> None:
     """Deletes stored tables that are not read again, and lets Spark drop the shuffles behind them."""
     spark = tables[0].sparkSession
     for path in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    tables.clear()
+    del tables
     gc.collect()
     spark._jvm.System.gc()
 
 
-def settle(parts: DataFrame, known: DataFrame, k: int, total: int, n_buckets: int):
-    """Exchanges all words by the bigrams of adjacent words until a pass over both halves gains too little."""
-    kept, turn = None, 0
-    while True:
-        beside = stored(_told(parts, known).groupBy("tag").applyInArrow(_neighbours(k, n_buckets), "bucket long, words binary, beside binary, n binary"), "beside")
-        pair = lambda: known.groupBy("bucket").cogroup(beside.groupBy("bucket"))  # noqa: B023, E731
-        sums = stored(pair().applyInArrow(_bigrams(k), "table binary, once binary"), "class-bigrams")
-        table, once = _summed(sums, "table", (k + 1) * k).reshape(k + 1, k), _summed(sums, "once", k + 1)
-        gain = _x_log_x(table).sum() - _x_log_x(table.sum(axis=0)).sum() - _x_log_x(table.sum(axis=1)[:k]).sum()
-        if turn % 2 == 0:
-            if kept is not None and gain < kept[0] + SETTLED * total:
-                return (known, table, once) if gain >= kept[0] else kept[1:]
-            if not total:
-                return known, table, once
-            kept = gain, known, table, once
-        known = stored(pair().applyInArrow(_move(table, k, turn), _KNOWN), "known-words")
-        _drop([beside, sums])
-        turn += 1
+def settle(parts: DataFrame, known: DataFrame, k: int, total: int, rounds: int):
+    """Places and exchanges all words by the bigrams of adjacent words until the likelihood settles.
+
+    A turn moves one share of the words, at first a half; the likelihood is then counted anew, and a turn that
+    lowers it is taken back and followed by turns of half its share.  It ends when two turns in a row gain less
+    than ``SETTLED`` a token, or after ``rounds`` turns.
+    """
+    none = F.lit(None).cast("binary")
+    asked = parts.where("bucket >= 0").select("bucket", "tag", "words")
+    routes = stored(asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_route, "bucket long, tag long, steps binary"), "routes")
+    numbers = parts.where("bucket < 0").select("tag", "bucket", none.alias("steps"), none.alias("classes"), "index", "bounds")
+
+    def weigh(known):
+        told = routes.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_classes_at, "tag long, bucket long, steps binary, classes binary")
+        told = told.select("tag", "bucket", "steps", "classes", none.alias("index"), none.alias("bounds"))
+        found = stored(told.unionByName(numbers).groupBy("tag").applyInArrow(_weigh(k), "bucket long, place binary, beside binary, n binary"), "beside")
+        return found, _summed(found.where("bucket < 0"), "place", (k + 1) * k).reshape(k + 1, k)
+
+    def moved(known, found, table, share, turn):
+        pair = known.groupBy("bucket").cogroup(found.where("bucket >= 0").groupBy("bucket"))
+        return stored(pair.applyInArrow(_move(table, k, share, turn), _KNOWN), "known-words")
+
+    found, table = weigh(known)
+    placed = moved(known, found, table, 1, 0)
+    _drop(known, found)
+    known, (found, table) = placed, weigh(placed)
+    history, share, quiet = [likelihood(table)], 2, 0
+    for turn in range(rounds if total else 0):
+        tried = moved(known, found, table, share, turn)
+        tried_found, tried_table = weigh(tried)
+        gain = likelihood(tried_table) - history[-1]
+        quiet = quiet + 1 if gain < SETTLED * total else 0
+        if gain > 0:
+            _drop(known, found)
+            known, found, table = tried, tried_found, tried_table
+            history.append(likelihood(table))
+        else:
+            _drop(tried, tried_found)
+            share *= 2
+        if quiet == 2:
+            break
+    pair = known.groupBy("bucket").cogroup(found.where("bucket >= 0").groupBy("bucket"))
+    once = _summed(pair.applyInArrow(_once(k), "once binary"), "once", k + 1)
+    _drop(found, routes, parts)
+    return known, table, once, history
+
+
+def _cells(batches):
+    for batch in batches:
+        total = 0
+        for r in range(batch.num_rows):
+            total = total + np.frombuffer(batch.column(0)[r].as_py(), np.float64)
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["cell", "n"])
+
+
+def _summed(rows: DataFrame, name: str, size: int) -> np.ndarray:
+    """The sum of arrays of ``size`` numbers, by cell; the size is that of the classes' table."""
+    out = np.zeros(size)
+    for r in rows.select(name).mapInArrow(_cells, "cell long, n double").groupBy("cell").agg(F.sum("n")).collect():
+        out[r[0]] = r[1]
+    return out
+
+
+class Model:
+    """The broadcast part of a trained model: its size doesn't grow with the corpus."""
+
+    counts, cls = (), ()  # all words are in the table of known ones
+
+    def __init__(self, table, once, total, kinds, k, mix):
+        self.total, self.kinds, self.k, self.mix = total, kinds, k, mix
+        self.class_size = np.maximum(table.sum(axis=0), 1.0)
+        used = table.sum(axis=0) > 0  # a class without words takes no probability
+        table, once = np.vstack([table, table.sum(axis=0)]), np.append(once, once.sum())  # after an unknown word: as after any
+        seen = table.sum(axis=1)
+        self.unknown = np.clip((once + 0.5) / (seen + 1.0), 1e-9, 0.9)
+        self.follow = (table + 0.5 * used) / np.maximum(seen + 0.5 * used.sum(), 0.5)[:, None] * (1 - self.unknown)[:, None]
+
+    def base(self, n):
+        return (n + 1.0) / (self.total + self.kinds + 1.0)
+
+    def known_word(self, before, n, cls):
+        """log10 probability of words with counts n and classes after the classes before."""
+        return np.log10(self.mix * self.follow[before, cls] * n / self.class_size[cls] + (1 - self.mix) * self.base(n))
+
+    def unknown_word(self, before):
+        return np.log10(self.mix * self.unknown[before] + (1 - self.mix) * self.base(0.0))
+
+
+def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Counts and classes of the words asked for; words that aren't known have the count 0."""
+    words, n, cls = join_blobs(known["words"], np.uint64), join_blobs(known["counts"], np.int64), join_blobs(known["classes"], np.uint8)
+    counts, classes = [], []
+    for blob in asked["words"].to_pylist():
+        found = _number(words, np.frombuffer(blob, np.uint64))
+        ok = found >= 0
+        c, k = np.zeros(len(found), np.int64), np.zeros(len(found), np.uint8)
+        c[ok], k[ok] = n[found[ok]], cls[found[ok]]
+        counts.append(squeeze(c))
+        classes.append(squeeze(k))
+    return pa.table({"tag": asked["tag"], "bucket": asked["bucket"], "counts": pa.array(counts, pa.binary()), "classes": pa.array(classes, pa.binary())})
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -550,7 +497,13 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 def _score(model: Model):
     def run(table: pa.Table) -> pa.Table:
-        _, counts, cls, index, bounds, before, own = _read_part(table, model.k)
+        table = table.take(pa.array(np.argsort(table["bucket"].to_numpy(), kind="stable")))
+        counts, cls = (np.concatenate([stretch(b, t) for b in table[c].to_pylist()[1:]]) for c, t in (("counts", np.int64), ("classes", np.uint8)))
+        index, bounds = stretch(table["index"][0].as_py(), np.int32), stretch(table["bounds"][0].as_py(), np.int64)
+        own = np.frombuffer(table["own"][0].as_py(), _OWN)
+        before = np.empty(len(index), np.int64)
+        before[1:] = np.where(counts > 0, cls, model.k + 1)[index[:-1]]  # unknown: k + 1
+        before[bounds[:-1]] = model.k
         doc, n = np.repeat(np.arange(len(own)), np.diff(bounds)), counts[index]
         score = np.where(n > 0, model.known_word(before, np.maximum(n, 1), cls[index]), model.unknown_word(before))
         size, known, base, score = (np.bincount(doc, weights=x, minlength=len(own)) for x in (np.ones(len(n)), n > 0, np.log10(model.base(n)), score))
@@ -561,44 +514,59 @@ def _score(model: Model):
 
 
 def train(docs: DataFrame, text: str = "text", k: int = CLASSES, rounds: int = ROUNDS, mix: float = MIX) -> tuple[Model, DataFrame, int]:
-    """The model of all of docs, the table of its words by bucket, and the number of buckets."""
+    """The model of all of docs, the table of its words by bucket, and the number of buckets.
+
+    Null texts are empty and count their end; repeated rows count as often as they occur; without documents
+    every word is unknown.  Other columns are not read.
+    """
     spark = docs.sparkSession
     prepare(spark)
-    n_buckets = buckets(spark, 1)
     rows = docs.select(text_of(F.col(text)).alias("text"))
+    n_buckets = buckets_for(rows, "text", BUCKET_BYTES)
     binary = lambda *names: ", ".join(f"{n} binary" for n in names)
     counts = rows.mapInArrow(_count(n_buckets), f"bucket long, {binary('words', 'counts')}").groupBy("bucket").applyInArrow(_sum_counts, f"bucket long, {binary('words', 'counts')}, total long, kinds long")
     counts = stored(counts, "word-counts")
     size = counts.agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = size[0] or 0, size[1] or 0
-    least = max(2.0, FREQUENT * total)
+    least = max(2.0, CORE * total)
 
     def often(batches):
         for batch in batches:
             words, n = join_blobs(batch.column(0), np.uint64), join_blobs(batch.column(1), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(words[n >= least].view(np.int64)), pa.array(n[n >= least])], names=["word", "n"])
 
-    top = counts.select("words", "counts").mapInArrow(often, "word long, n long").toArrow()  # at most 1 / FREQUENT rows
-    frequent, weight = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.argsort(frequent)
-    frequent, weight = frequent[order], weight[order]
-    pairs = rows.mapInArrow(_pairs(frequent, n_buckets), f"bucket long, side int, {binary('own', 'other', 'n')}").groupBy("bucket").applyInArrow(_sum_pairs, f"bucket long, side int, {binary('own', 'other', 'n')}")
-    pairs = stored(pairs, "word-pairs")
-    cls, table = exchange(pairs, weight, k, rounds)
-    placed = rows.mapInArrow(_rare(frequent, cls, n_buckets), f"bucket long, {binary('words', 'beside', 'n')}").groupBy("bucket").applyInArrow(_place(table, k), _PLACED)
-    placed = stored(placed, "rare-words")
-    known = counts.select("bucket", "words", "counts").groupBy("bucket").cogroup(placed.select("bucket", "classes").groupBy("bucket")).applyInArrow(_all_words(frequent, cls), _KNOWN)
+    top = counts.select("words", "counts").mapInArrow(often, "word long, n long").toArrow()  # at most 1 / CORE rows
+    core, weight = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(core)
+    core, weight = core[order], weight[order]
+    rest = rows.mapInArrow(_core_pairs(core), f"first long, {binary('second', 'n')}").groupBy("first").applyInArrow(_sum_pairs, f"first long, {binary('second', 'n')}")
+    pairs = np.zeros((len(core) + 1, len(core)))
+    for r in rest.collect():  # core words squared at most
+        pairs[r["first"], np.frombuffer(r["second"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    cls = exchange(pairs, weight, k, rounds)
+    known = stored(counts.select("bucket", "words", "counts").mapInArrow(_with_core(core, cls), _KNOWN), "known-words")
+    _drop(counts)
     parts = _parted(rows.select(F.lit(None).cast("long").alias("id"), "text", F.lit(False).alias("held")), n_buckets)
-    known, table, once = settle(parts, stored(known, "known-words"), k, total, n_buckets)
-    return Model(table, once, total, kinds, k, mix), known, n_buckets
+    known, table, once, history = settle(parts, known, k, total, rounds)
+    model = Model(table, once, total, kinds, k, mix)
+    model.history = history
+    return model, known, n_buckets
 
 
 def perplexities(docs: DataFrame, trained, doc_id: str = "doc_id", text: str = "text", held: Column | None = None) -> DataFrame:
-    """Scores each row of docs.  Null texts are empty and score their end token; null ids stay null."""
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` for each row of docs.
+
+    Null texts are empty and score their end token; null ids stay null; each of repeated rows is scored; an empty
+    table gives an empty table; other columns are not read, whatever their names.
+    """
     model, known, n_buckets = trained
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(F.col(text)).alias("text"), (F.lit(False) if held is None else held).alias("held"))
-    return _told(_parted(rows, n_buckets), known).groupBy("tag").applyInArrow(_score(model), _SCORED).withColumnRenamed("doc_id", doc_id)
+    parts, none = _parted(rows, n_buckets), F.lit(None).cast("binary")
+    told = parts.where("bucket >= 0").select("bucket", "tag", "words").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_tell, "tag long, bucket long, counts binary, classes binary")
+    numbers = parts.where("bucket < 0").select("tag", "bucket", none.alias("counts"), none.alias("classes"), "index", "bounds", "own")
+    told = told.select("tag", "bucket", "counts", "classes", *[none.alias(n) for n in ("index", "bounds", "own")])
+    return told.unionByName(numbers).groupBy("tag").applyInArrow(_score(model), _SCORED).withColumnRenamed("doc_id", doc_id)
 
 
 def op6_brown_lm(spark, sf_dir: str) -> DataFrame:

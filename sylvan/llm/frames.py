@@ -51,5 +51,11 @@ def buckets(spark: SparkSession, factor: int = 2) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * factor
 
 
+def buckets_for(rows: DataFrame, column: str, size: int, factor: int = 1) -> int:
+    """As many buckets as ``buckets``, or one for each ``size`` bytes of a column if those are more."""
+    total = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(buckets(rows.sparkSession, factor), -(-total // size))
+
+
 def text_of(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))

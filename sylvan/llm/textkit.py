@@ -119,6 +119,21 @@ def join_blobs(column, dtype) -> np.ndarray:
     return buf.view(dtype) if len(buf) and buf.ctypes.data % np.dtype(dtype).itemsize == 0 else np.frombuffer(buf.tobytes(), dtype)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """An array's bytes, those of one significance together, compressed after their number."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T)
+    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def stretch(blob: bytes, dtype) -> np.ndarray:
+    """The array that ``squeeze`` packed."""
+    size, n = int.from_bytes(blob[:8], "little"), np.dtype(dtype).itemsize
+    if not size:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(blob[8:], size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(n, size // n).T).view(dtype).ravel()
+
+
 def blob_lengths(column) -> np.ndarray:
     return np.diff(column_bytes(column)[1])
 

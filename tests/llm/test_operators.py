@@ -255,11 +255,11 @@ def test_language_model_base_scores_and_proper_distribution(spark):
     assert len(words) == kinds
     for s in range(model.k + 1):
         mass = sum(10 ** model.known_word(np.array(s), np.float64(n), np.array(c)) for n, c in words) + 10 ** model.unknown_word(np.array(s))
-        assert mass < 1 + 1e-6 and mass > 0.5  # one, less the share of classes without words
+        assert math.isclose(mass, 1, rel_tol=1e-9)
 
 
 def test_every_word_is_a_history(spark, monkeypatch):
-    monkeypatch.setattr(brown, "FREQUENT", 0.08)  # most words are rare
+    monkeypatch.setattr(brown, "CORE", 0.08)  # most words are rare
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(["the", "a"]) + f" n{rng.randrange(12)} v{rng.randrange(9)}" for _ in range(rng.randrange(9)))) for i in range(50)] + [(50, "the new n1 v1"), (51, None), (52, "v3 v3 v3")]
     docs = table(spark, rows)
@@ -286,6 +286,33 @@ def test_every_word_is_a_history(spark, monkeypatch):
         assert math.isclose(got[i], score, rel_tol=1e-9)
 
 
+def test_exchange_never_lowers_the_likelihood_and_keeps_its_classes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    trained = brown.train(docs, k=12, rounds=5)
+    history = trained[0].history
+    assert len(history) > 2 and all(a < b for a, b in zip(history[:-1], history[1:], strict=True))
+    size = np.sort(trained[0].class_size)
+    assert size[0] > 0.002 * size.sum() and size[-1] < 0.5 * size.sum()
+    base, score = brown.perplexities(docs, trained).selectExpr("sum(base_score)", "sum(score)").first()
+    assert score > base
+
+
+def test_core_words_are_exchanged_to_a_local_optimum():
+    rng = np.random.default_rng(8)
+    pairs = rng.integers(0, 9, (21, 20)).astype(float)
+    weight, k = pairs.sum(axis=0), 4
+
+    def value(cls):
+        table = np.zeros((k + 1, k))
+        np.add.at(table, (np.append(cls, k)[:, None].repeat(20, 1), cls[None, :].repeat(21, 0)), pairs)
+        return brown.likelihood(table)
+
+    cls = brown.exchange(pairs, weight, k, 50)
+    for w in range(20):
+        for c in range(k):
+            assert value(np.where(np.arange(20) == w, c, cls)) <= value(cls) + 1e-6
+
+
 def test_exchange_gains_are_likelihood_differences():
     rng = np.random.default_rng(3)
     n, k = 12, 3
