@@ -1,16 +1,24 @@
 """Lexical retrieval packing.
 
-Documents are taken in shards.  Each shard has a BM25 inverted index of its words.  The unused neighbours that
-the index returns for a window's seed document fill the window, best first; the document that crosses the
-window's end is cut and its rest is the seed of the next window, also across shards, so that only the last
-window of a task can be short.  That one is split at powers of two, which need no padding.
-
-There is no shuffle: shards are runs of rows of an input partition, of bounded size, so a lost task is redone
-from its own input alone.
+Documents are dealt to shards, and each shard has a BM25 inverted index of its words, whose document counts and
+mean length are those of all documents.  The unused neighbours that the index returns for a window's seed
+document fill the window, best first; the document that crosses the window's end is cut and its rest is the
+seed of the next window, also across shards, so that only the last window of a task can be short.  That one is
+split at powers of two, which need no padding.
+
+Documents that share rare words are dealt to the same shard wherever they stand: a document's key is the one of
+its words that wins a race by hashes and inverse document frequencies (weighted MinHash), so two documents meet
+with the weighted Jaccard similarity of their words as probability.  Words in more documents than a quarter of a
+task's are no keys, so no key is hot; a document without a key is dealt by its id.  A seed does not see the
+documents of other shards: the dealing, not the file order, decides what it can retrieve.
+
+Document counts are kept in ``SLOTS`` slots of word hashes, a table whose size does not grow.  Words that share
+a slot add up: with D different words a document on average the expected excess is D / SLOTS of all documents.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -20,11 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import prepare, text_of
-from .textkit import EXACT_VALUES, column_bytes, ranges, slices, span_hashes, word_spans
+from .frames import buckets_for, prepare, text_of
+from .textkit import EXACT_VALUES, U, blob_batch, column_bytes, mix, ranges, slices, span_hashes, squeeze, stretch, word_spans
 
 WINDOW, END_ID = 4096, 2
-SHARD_DOCS, SHARD_BYTES = 4096, 12_000_000
+SHARD_DOCS, SHARD_BYTES = 1024, 3_000_000
+SLOTS = 1 << 21
+_SLOT_BUCKETS = 8
+#: Bytes of text for each task that packs.
+TASK_BYTES = 64_000_000
 K1, B = 1.2, 0.75
 _CACHED_WORDS = 1_000_000
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -38,11 +50,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The normaliser and splitter with which a text's ids are its words' ids, and ASCII words lower-cased are plain.
+_BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordIds:
     """Token ids of words between white space, each tokenised once while it is kept.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its words' ids.  Plain words
-    skip its normaliser and splitter; the test suite compares both ways.
+    A tokenizer with the parts ``_BY_WORDS`` drops white space and never joins across it, so a text's ids are its
+    words' ids, and plain words skip its normaliser and splitter; the test suite compares both ways.  For any
+    other tokenizer ``by_words`` is false and whole texts are to be tokenised.
     """
 
     _held: dict[str, WordIds] = {}
@@ -57,6 +83,8 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        parts = json.loads(self.full.to_str())
+        self.by_words = all(parts.get(k) == v for k, v in _BY_WORDS.items())
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.forget()
@@ -107,24 +135,33 @@ class WordIds:
         return self.place[at]
 
 
+def word_hashes(buf: np.ndarray, off: np.ndarray):
+    """Hashes, starts and ends of each document's words, and the bounds of each document's."""
+    starts, ends, first = word_spans(buf, off, _SPACE)
+    h = np.empty(len(starts), np.uint64)
+    for a, b in slices(off):
+        x, y = first[a], first[b]
+        h[x:y] = span_hashes(buf[off[a] : off[b]], starts[x:y] - off[a], ends[x:y] - off[a], EXACT_VALUES)
+    return h, starts, ends, first
+
+
 def tokenise(words: WordIds, buf: np.ndarray, off: np.ndarray):
-    """Ids of each document, its end last; bounds of each document's; word numbers and bounds for the index."""
+    """Ids of each document, its end last; bounds of each document's; word hashes and bounds for the index."""
     flat, sizes, terms, term_bounds = [], [], [], [np.zeros(1, np.int64)]
     done = 0
     for i, j in slices(off, 1 << 21):
-        part = buf[off[i] : off[j]]
-        starts, ends, first = word_spans(part, off[i : j + 1] - off[i], _SPACE)
-        h = np.empty(len(starts), np.uint64)
-        inner = off[i : j + 1] - off[i]
-        for a, b in slices(inner):
-            x, y = first[a], first[b]
-            h[x:y] = span_hashes(part[inner[a] : inner[b]], starts[x:y] - inner[a], ends[x:y] - inner[a], EXACT_VALUES)
-        unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-        place = words.look_up(unique, lambda k: part[starts[at[k]] : ends[at[k]]].tobytes().decode("utf-8", "replace"))[inverse]  # noqa: B023
-        n = words.bounds[place + 1] - words.bounds[place]
-        total = np.concatenate([[0], np.cumsum(n)])[first]
-        ids = np.insert(words.flat[ranges(words.bounds[place], n)], total[1:], END_ID)
-        flat.append(ids)
+        part, inner = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+        h, starts, ends, first = word_hashes(part, inner)
+        if words.by_words:
+            unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            place = words.look_up(unique, lambda k: part[starts[at[k]] : ends[at[k]]].tobytes().decode("utf-8", "replace"))[inverse]  # noqa: B023
+            n = words.bounds[place + 1] - words.bounds[place]
+            own, total = words.flat[ranges(words.bounds[place], n)], np.concatenate([[0], np.cumsum(n)])[first]
+        else:
+            texts = [part[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(inner[:-1], inner[1:], strict=True)]
+            found = [e.ids for e in words.full.encode_batch_fast(texts, add_special_tokens=False)]
+            own, total = np.array([x for ids in found for x in ids], np.int32), np.cumsum([0, *map(len, found)])
+        flat.append(np.insert(own, total[1:], END_ID))
         sizes.append(np.diff(total) + 1)
         terms.append(h)
         term_bounds.append(first[1:] + done)
@@ -133,22 +170,99 @@ def tokenise(words: WordIds, buf: np.ndarray, off: np.ndarray):
     return np.concatenate([np.zeros(0, np.int32), *flat]), np.cumsum(sizes), np.concatenate([np.zeros(0, np.uint64), *terms]), np.concatenate(term_bounds)
 
 
+def _distinct(h: np.ndarray, first: np.ndarray):
+    """Each document's different slots: document and slot, ascending."""
+    key = np.repeat(np.arange(len(first) - 1), np.diff(first)) * SLOTS + (h & U(SLOTS - 1)).astype(np.int64)
+    key = np.unique(key.astype(np.uint32) if (len(first) - 1) * SLOTS < 2**32 else key)
+    return (key // SLOTS).astype(np.int64), (key % SLOTS).astype(np.int64)
+
+
+class Statistics:
+    """Of all documents: number, mean words, and how many have a word of each slot."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, mean, df
+
+    def idf(self, df: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+
+_SEEN = pa.schema([("bucket", pa.int64()), ("slots", pa.binary()), ("n", pa.binary()), ("docs", pa.int64()), ("words", pa.int64())])
+
+
+def _seen(batches):
+    df, docs, words = np.zeros(SLOTS, np.int32), 0, 0
+    for batch in batches:
+        buf, off = column_bytes(batch.column(0))
+        for i, j in slices(off, 1 << 20):
+            h, _, _, first = word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            df += np.bincount(_distinct(h, first)[1], minlength=SLOTS).astype(np.int32)
+            docs, words = docs + j - i, words + len(h)
+    for k in range(_SLOT_BUCKETS):
+        part = df[k * SLOTS // _SLOT_BUCKETS : (k + 1) * SLOTS // _SLOT_BUCKETS]
+        at = np.flatnonzero(part)
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([squeeze(np.diff(at, prepend=0).astype(np.int32))]), pa.array([squeeze(part[at].astype(np.int64))]), pa.array([docs if not k else 0]), pa.array([words if not k else 0])], schema=_SEEN)
+
+
+def _sum_seen(table: pa.Table) -> pa.Table:
+    total = np.zeros(SLOTS // _SLOT_BUCKETS, np.int64)
+    for slots, n in zip(table["slots"], table["n"], strict=True):
+        total[np.cumsum(stretch(slots.as_py(), np.int32))] += stretch(n.as_py(), np.int64)
+    return pa.table({"bucket": table["bucket"].slice(0, 1), "df": pa.array([squeeze(total)]), "docs": pa.array([sum(table["docs"].to_pylist())]), "words": pa.array([sum(table["words"].to_pylist())])})
+
+
+def statistics(rows: DataFrame) -> Statistics:
+    """Counts over all rows; the table of SLOTS numbers comes to the driver."""
+    kinds = "bucket long, slots binary, n binary, docs long, words long"
+    parts = {r["bucket"]: r for r in rows.select("text").mapInArrow(_seen, kinds).groupBy("bucket").applyInArrow(_sum_seen, "bucket long, df binary, docs long, words long").collect()}
+    if not parts:
+        return Statistics(0, 1.0, np.zeros(SLOTS, np.int64))
+    docs = parts[0]["docs"]
+    return Statistics(docs, parts[0]["words"] / max(1, docs), np.concatenate([stretch(parts[k]["df"], np.int64) for k in range(_SLOT_BUCKETS)]))
+
+
+def shard_keys(known: Statistics, most: int, ids: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Each document's key: of its words that 2 to ``most`` documents have, the winner of the weighted race."""
+    keys = mix(ids.astype(np.int64).view(np.uint64) ^ U(0xA5A5A5A5A5A5A5A5))
+    for i, j in slices(off, 1 << 20):
+        h, _, _, first = word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        doc, slot = _distinct(h, first)
+        df = known.df[slot]
+        fit = (df > 1) & (df <= most)
+        doc, slot, df = doc[fit], slot[fit], df[fit]
+        name = mix(slot.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1))
+        race = -np.log((name >> U(11)).astype(np.float64) / 2**53 + 2.0**-54) / known.idf(df) ** 2
+        order = np.lexsort((race, doc))
+        best = order[np.append(True, doc[order][1:] != doc[order][:-1])] if len(order) else order
+        keys[i + doc[best]] = name[best]
+    return keys.view(np.int64)
+
+
+def _deal(shared, most: int):
+    def run(batches):
+        for batch in batches:
+            buf, off = column_bytes(batch.column(1))
+            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_keys(shared.value, most, ids, buf, off)), *batch.columns], names=["key", "doc_id", "text"])
+
+    return run
+
+
 class Index:
     """BM25 inverted index of a shard: for each term, the documents that have it and their weights."""
 
-    def __init__(self, terms: np.ndarray, bounds: np.ndarray):
+    def __init__(self, terms: np.ndarray, bounds: np.ndarray, known: Statistics):
         self.n = len(bounds) - 1
-        _, term = np.unique(terms, return_inverse=True)
+        names, term = np.unique(terms, return_inverse=True)
         doc = np.repeat(np.arange(self.n), np.diff(bounds))
         pair, tf = np.unique(term * np.int64(self.n) + doc, return_counts=True)
         self.docs = pair % max(1, self.n)
         term = pair // max(1, self.n)
-        self.bounds = np.searchsorted(term, np.arange((term[-1] if len(term) else -1) + 2))
+        self.bounds = np.searchsorted(term, np.arange(len(names) + 1))
         df = np.diff(self.bounds)
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        size = np.diff(bounds)
-        norm = K1 * (1 - B + B * size / max(1.0, size.mean() if self.n else 1.0))
-        self.weight = self.idf[term] * tf * (K1 + 1) / (tf + norm[self.docs])
+        idf = known.idf(known.df[(names & U(SLOTS - 1)).astype(np.int64)])
+        norm = K1 * (1 - B + B * np.diff(bounds) / max(known.mean, 1e-9))
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.docs])
         # Each document's query: all its terms that others have too.
         shared = np.flatnonzero(df[term] > 1)
         order = shared[np.argsort(self.docs[shared], kind="stable")]
@@ -238,16 +352,16 @@ class Packer:
         self.open, self.used = [], 0
 
 
-def _pack(tokenizer: str):
+def _pack(tokenizer: str, shared):
     def table(rows):
         columns = list(zip(*rows, strict=True)) or [[]] * len(_PIECES)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
 
     def shard(words, packer, held):
-        names = [x for batch in held for x in batch.column(0).to_pylist()]
-        buf, off = column_bytes(pa.chunked_array([batch.column(1) for batch in held]))
+        names = [x for batch in held for x in batch.column(1).to_pylist()]
+        buf, off = column_bytes(pa.chunked_array([batch.column(2) for batch in held]))
         ids, bounds, terms, term_bounds = tokenise(words, buf, off)
-        order = fill_order(Index(terms, term_bounds), np.diff(bounds), packer.room())
+        order = fill_order(Index(terms, term_bounds, shared.value), np.diff(bounds), packer.room())
         return [row for d in order for row in packer.add(names[d], ids[bounds[d] : bounds[d + 1]])]
 
     def run(batches):
@@ -257,7 +371,7 @@ def _pack(tokenizer: str):
             if not batch.num_rows:
                 continue
             held.append(batch)
-            docs, size = docs + batch.num_rows, size + batch.column(1).nbytes
+            docs, size = docs + batch.num_rows, size + batch.column(2).nbytes
             if docs >= SHARD_DOCS or size >= SHARD_BYTES:
                 yield table(shard(words, packer, held))
                 held, docs, size = [], 0, 0
@@ -272,12 +386,19 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     """A row for each piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Null texts are empty, and an empty text is the end token alone; null ids stay null and repeated rows are
-    packed as often as they occur.  An empty table has no pieces.
+    packed as often as they occur.  Texts of any length are cut at windows; a shard is closed once it has
+    SHARD_DOCS rows or SHARD_BYTES.  An empty table has no pieces; other columns are not read, whatever their
+    names.  Ties in a neighbour's score go by key and id.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(F.col(text)).alias("text"))
+    known = statistics(rows)
+    tasks = buckets_for(rows, "text", TASK_BYTES)
+    shared = spark.sparkContext.broadcast(known)  # SLOTS numbers, whatever the input
+    dealt = rows.mapInArrow(_deal(shared, max(16, known.n // tasks // 4)), "key long, doc_id long, text string").repartition(tasks, "key").sortWithinPartitions("key", "doc_id", "text")
     kinds = ", ".join(f"`{f.name}` long" for f in _PIECES)
-    return rows.mapInArrow(_pack(tokenizer or default_tokenizer()), kinds).withColumnRenamed("doc_id", doc_id)
+    return dealt.mapInArrow(_pack(tokenizer or default_tokenizer(), shared), kinds).withColumnRenamed("doc_id", doc_id)
 
 
 def op9_retrieval_packing(spark, sf_dir: str) -> DataFrame:

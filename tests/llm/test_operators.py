@@ -433,27 +433,99 @@ def test_packing(spark):
     assert packing.pack(table(spark, rows).limit(0)).count() == 0
 
 
+def known_of(docs):
+    """Statistics of documents given as lists of small numbers, which are their slots."""
+    df = np.zeros(packing.SLOTS, np.int64)
+    for d in docs:
+        df[list(set(d))] += 1
+    return packing.Statistics(len(docs), sum(map(len, docs)) / len(docs), df)
+
+
+def index_of(docs, known):
+    return packing.Index(np.array([w for d in docs for w in d], np.uint64), np.cumsum([0, *map(len, docs)]), known)
+
+
+def bm25(seed, other, known):
+    norm = packing.K1 * (1 - packing.B + packing.B * len(other) / known.mean)
+    return sum(math.log(1 + (known.n - known.df[w] + 0.5) / (known.df[w] + 0.5)) * other.count(w) * (packing.K1 + 1) / (other.count(w) + norm) for w in set(seed) & set(other))
+
+
 def test_neighbours_share_rare_words():
-    terms = np.array([1, 2, 3, 1, 9, 8, 2, 3, 7, 5, 6, 4], np.uint64)
-    index = packing.Index(terms, np.array([0, 3, 6, 9, 12]))
-    assert list(index.neighbours(0, np.ones(4, bool))) == [0, 2, 1]
+    docs = [[1, 2, 3], [1, 9, 8], [2, 3, 7], [5, 6, 4]]
+    assert list(index_of(docs, known_of(docs)).neighbours(0, np.array([False, True, True, True]))) == [2, 1]
 
 
-def test_neighbours_are_scored_with_all_terms():
+def test_neighbours_are_scored_with_all_terms_and_the_counts_of_all_documents():
     rng = random.Random(8)
     docs = [list(range(40)) + [100], list(range(40)), [100, 200, 201], [100, 202], *[[rng.randrange(60) for _ in range(rng.randrange(1, 90))] for _ in range(30)]]
-    index = packing.Index(np.array([w for d in docs for w in d], np.uint64), np.cumsum([0, *map(len, docs)]))
-    df, mean = collections.Counter(w for d in docs for w in set(d)), sum(map(len, docs)) / len(docs)
+    known = known_of(docs + [[100, rng.randrange(60)] for _ in range(50)])  # documents of other shards
+    index = index_of(docs, known)
     for seed, d in enumerate(docs):
-        score = []
-        for other in docs:
-            norm = packing.K1 * (1 - packing.B + packing.B * len(other) / mean)
-            score.append(sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * other.count(w) * (packing.K1 + 1) / (other.count(w) + norm) for w in set(d) & set(other) if df[w] > 1))
-        got = index.neighbours(seed, np.ones(len(docs), bool))
+        score = [bm25(d, other, known) if i != seed else 0 for i, other in enumerate(docs)]
+        unused = np.arange(len(docs)) != seed
+        got = index.neighbours(seed, unused)
         assert set(got) == {i for i, x in enumerate(score) if x > 0}
         assert np.allclose([score[i] for i in got], sorted((x for x in score if x > 0), reverse=True))
 
 
+def test_windows_fill_in_the_order_of_brute_force_scores():
+    rng = random.Random(3)
+    docs = [[rng.randrange(50) for _ in range(rng.randrange(1, 40))] for _ in range(60)]
+    known, sizes = known_of(docs), np.array([rng.randrange(1, 3000) for _ in docs])
+    room, left, want, rest = 1000, list(range(60)), [], None
+    while left:
+        seed = rest if rest is not None else left[0]
+        if rest is None:
+            left.remove(seed)
+            want.append(seed)
+            room -= sizes[seed]
+        ranked = sorted((d for d in left if bm25(docs[seed], docs[d], known) > 0), key=lambda d: (-round(bm25(docs[seed], docs[d], known), 9), d)) if room > 0 else []
+        last = seed
+        for d in ranked:
+            if room <= 0:
+                break
+            left.remove(d)
+            want.append(d)
+            room -= sizes[d]
+            last = d
+        rest = None
+        if room <= 0:  # what is left of the last document opens the next window
+            over = -room % packing.WINDOW
+            room, rest = (packing.WINDOW - over, last) if over else (packing.WINDOW, None)
+    assert list(packing.fill_order(index_of(docs, known), sizes, 1000)) == want
+
+
+def test_documents_that_share_rare_words_meet_wherever_they_stand(spark):
+    rng = random.Random(2)
+    topic = lambda t: " ".join(rng.choice([f"t{t}w{rng.randrange(12)}", f"c{rng.randrange(400)}"]) for _ in range(60))
+    rows = [(i, topic(i % 30)) for i in range(300)] + [(400, None), (401, "alone")]
+    df = table(spark, rows)
+    known = packing.statistics(df.select("text").fillna(""))
+    assert known.n == 302 and math.isclose(known.mean, 18001 / 302)
+    count = collections.Counter(w for _, t in rows for w in set(re.findall(WORD, t or "")))
+    slot = lambda w: int(packing.word_hashes(*textkit.column_bytes(pa.array([w])))[0][0]) % packing.SLOTS
+    assert all(known.df[slot(w)] == n for w, n in count.items())
+    keys = packing.shard_keys(known, 100, np.array([i for i, _ in rows]), *textkit.column_bytes(pa.array([t or "" for _, t in rows])))
+    by_key = collections.defaultdict(set)
+    for (i, _), k in zip(rows[:300], keys, strict=False):
+        by_key[k].add(i % 30)
+    assert len(by_key) < 150 and sum(len(t) == 1 for t in by_key.values()) > 0.6 * len(by_key)
+    layout = lambda d: {(r.doc_id, r.start, r.length) for r in packing.pack(d).collect()}
+    assert layout(df.repartition(1)) == layout(df.repartition(7, "text"))  # file order doesn't count
+
+
+def test_any_tokenizer_gives_its_own_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(1, "Two  Words,\n and Ünïcode 12"), (2, None), (3, " lead")]
+    encoder = Tokenizer.from_file(path)
+    for r in packing.pack(table(spark, rows), tokenizer=path).collect():
+        ids = np.array(encoder.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids + [2], "<u4")
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+
+
 def test_n_best_pieces(spark):
     lattice = pieces.Lattice(pieces.default_model())
 
