@@ -19,7 +19,6 @@ a slot add up: with D different words a document on average the expected excess
 from __future__ import annotations
 
 import json
-import re
 import zlib
 
 import numpy as np
@@ -28,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import buckets_for, prepare, text_of
-from .textkit import EXACT_VALUES, U, blob_batch, column_bytes, mix, ranges, slices, span_hashes, squeeze, stretch, word_spans
+from .frames import buckets, prepare, text_of
+from .textkit import EXACT_VALUES, FOLD, U, blob_batch, column_bytes, mix, ranges, slices, span_hashes, squeeze, stretch, word_spans
 
 WINDOW, END_ID = 4096, 2
 SHARD_DOCS, SHARD_BYTES = 1024, 3_000_000
@@ -39,7 +38,9 @@ _SLOT_BUCKETS = 8
 TASK_BYTES = 64_000_000
 K1, B = 1.2, 0.75
 _CACHED_WORDS = 1_000_000
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+_JOINED = 1000
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -86,35 +87,62 @@ class WordIds:
         parts = json.loads(self.full.to_str())
         self.by_words = all(parts.get(k) == v for k, v in _BY_WORDS.items())
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = parts["model"].get("end_of_word_suffix") or ""
+        self.ends_word = np.zeros(self.full.get_vocab_size() + 1, bool)
+        self.ends_word[[i for piece, i in self.full.get_vocab().items() if suffix and piece.endswith(suffix)]] = True
+        special = [t["content"] for t in parts["added_tokens"] if t["special"]]
+        self.by_words &= bool(suffix) and bool(special)
+        self.mark = special[0] if special else None
         self.forget()
 
     def forget(self):
         self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.bounds, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = [[]] * len(words)
-        plain, other, tails = [], [], []
-        for k, w in enumerate(words):
-            m = _PLAIN.fullmatch(w)
-            if m:
-                plain.append((k, m[1].lower()))
-                if m[2]:
-                    tails.append((k, m[2]))
-            else:
-                other.append(k)
-        for (k, _), e in zip(plain, self.plain.encode_batch_fast([w for _, w in plain], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        marks = {m: self.full.encode(m, add_special_tokens=False).ids for m in ".,"}
-        for k, m in tails:
-            out[k] = out[k] + marks[m]
-        for k, e in zip(other, self.full.encode_batch_fast([words[k] for k in other], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        return out
-
-    def look_up(self, hashes: np.ndarray, text) -> np.ndarray:
-        """Index of each of the ascending hashes into bounds; ``text(k)`` gives the k-th one's word."""
+    def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """Ids of the words that are these spans of bytes, and how many each has.
+
+        Many words are encoded as one text: plain ones, lower-cased, between spaces, where each is one run of
+        tokens up to the one that ends a word; others between marks.
+        """
+        after = np.append(False, buf[:-1] == 0xC3) & (buf >= 0x80) & (buf <= 0xBF) & (buf != 0x97) & (buf != 0xB7)
+        letter = _LETTER[buf] | after | np.append(after[1:], False)
+        lower = FOLD.astype(np.uint8)[buf]
+        lower[after & (buf <= 0x9E)] += 0x20  # À to Þ
+        other = np.concatenate([[0], np.cumsum(~letter)])
+        tail = (ends - starts > 1) & ((buf[ends - 1] == 0x2C) | (buf[ends - 1] == 0x2E))
+        stop = ends - tail
+        plain = np.flatnonzero(other[stop] == other[starts])
+        size = stop[plain] - starts[plain] + 1
+        text = np.full(int(size.sum()), 0x20, np.uint8)
+        text[ranges(np.cumsum(size) - size, size - 1)] = lower[ranges(starts[plain], size - 1)]
+        cut = np.concatenate([[0], np.cumsum(size)])[np.append(np.arange(0, len(plain), _JOINED), len(plain))]
+        flat = lambda coder, texts: np.array([i for e in coder.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+        ids = flat(self.plain, [text[a:b].tobytes().decode() for a, b in zip(cut[:-1], cut[1:], strict=True)])
+        last = np.flatnonzero(self.ends_word[ids])
+        count = np.diff(last, prepend=-1)
+        marks = {m: np.array(self.full.encode(chr(m), add_special_tokens=False).ids, np.int32) for m in (0x2C, 0x2E)}
+        for m, own in marks.items():
+            own_tail = tail[plain] & (buf[ends[plain] - 1] == m)
+            at = (np.cumsum(count) - 1)[own_tail] + 1
+            ids = np.insert(ids, np.repeat(at, len(own)), np.tile(own, len(at)))
+            count = count + own_tail * len(own)
+        rest = np.setdiff1d(np.arange(len(starts)), plain)
+        words = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[rest], ends[rest], strict=True)]
+        marked = [w for w in words if "<|" not in w]
+        got = flat(self.full, [self.mark.join(marked[i : i + _JOINED]) + self.mark for i in range(0, len(marked), _JOINED)])
+        at = np.flatnonzero(got == self.full.token_to_id(self.mark))
+        found = iter([got[a:b] for a, b in zip(np.append(0, at + 1)[:-1], at, strict=True)])
+        others = [next(found) if "<|" not in w else np.array(self.full.encode(w, add_special_tokens=False).ids, np.int32) for w in words]  # "<|" may begin a special token
+        sizes = np.empty(len(starts), np.int64)
+        sizes[plain], sizes[rest] = count, [len(x) for x in others]
+        begin = np.empty(len(starts), np.int64)
+        begin[np.concatenate([plain, rest])] = np.cumsum(np.append(0, sizes[np.concatenate([plain, rest])]))[:-1]
+        return np.concatenate([ids, *others])[ranges(begin, sizes)], sizes
+
+    def look_up(self, hashes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Index of each of the ascending hashes into bounds; the spans are the words."""
         at = np.searchsorted(self.hashes, hashes)
         known = np.zeros(len(hashes), bool)
         inside = at < len(self.hashes)
@@ -123,12 +151,11 @@ class WordIds:
         if len(new):
             if len(self.hashes) + len(new) > _CACHED_WORDS and len(self.hashes):
                 self.forget()
-                return self.look_up(hashes, text)
-            ids = self._encode([text(k) for k in new])
-            size = np.array([len(x) for x in ids])
+                return self.look_up(hashes, buf, starts, ends)
+            ids, sizes = self._encode(buf, starts[new], ends[new])
             place = len(self.bounds) - 1 + np.arange(len(new))
-            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size)])
-            self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int32)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, ids])
             where = at[new]
             self.hashes, self.place = np.insert(self.hashes, where, hashes[new]), np.insert(self.place, where, place)
             at = np.searchsorted(self.hashes, hashes)
@@ -154,7 +181,7 @@ def tokenise(words: WordIds, buf: np.ndarray, off: np.ndarray):
         h, starts, ends, first = word_hashes(part, inner)
         if words.by_words:
             unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            place = words.look_up(unique, lambda k: part[starts[at[k]] : ends[at[k]]].tobytes().decode("utf-8", "replace"))[inverse]  # noqa: B023
+            place = words.look_up(unique, part, starts[at], ends[at])[inverse]
             n = words.bounds[place + 1] - words.bounds[place]
             own, total = words.flat[ranges(words.bounds[place], n)], np.concatenate([[0], np.cumsum(n)])[first]
         else:
@@ -180,61 +207,75 @@ def _distinct(h: np.ndarray, first: np.ndarray):
 class Statistics:
     """Of all documents: number, mean words, and how many have a word of each slot."""
 
-    def __init__(self, n: int, mean: float, df: np.ndarray):
-        self.n, self.mean, self.df = n, mean, df
+    def __init__(self, n: int, mean: float, df: np.ndarray, size: int = 0):
+        self.n, self.mean, self.df, self.size = n, mean, df, size
+        self._races = {}
 
     def idf(self, df: np.ndarray) -> np.ndarray:
         return np.log1p((self.n - df + 0.5) / (df + 0.5))
 
+    def races(self, most: int):
+        """A name for each slot, and its time in the race: infinite unless 2 to ``most`` documents have it."""
+        if most not in self._races:
+            name = mix(np.arange(SLOTS).astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1))
+            time = -np.log((name >> U(11)).astype(np.float64) / 2**53 + 2.0**-54)
+            fit = (self.df > 1) & (self.df <= most)
+            time[fit] /= self.idf(self.df[fit]) ** 2
+            time[~fit] = np.inf
+            self._races[most] = name, time
+        return self._races[most]
 
-_SEEN = pa.schema([("bucket", pa.int64()), ("slots", pa.binary()), ("n", pa.binary()), ("docs", pa.int64()), ("words", pa.int64())])
+
+_SEEN = pa.schema([("bucket", pa.int64()), ("slots", pa.binary()), ("n", pa.binary()), ("docs", pa.int64()), ("words", pa.int64()), ("size", pa.int64())])
 
 
 def _seen(batches):
-    df, docs, words = np.zeros(SLOTS, np.int32), 0, 0
+    df, docs, words, size, held, waiting = np.zeros(SLOTS, np.int64), 0, 0, 0, [], 0
     for batch in batches:
         buf, off = column_bytes(batch.column(0))
         for i, j in slices(off, 1 << 20):
             h, _, _, first = word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-            df += np.bincount(_distinct(h, first)[1], minlength=SLOTS).astype(np.int32)
-            docs, words = docs + j - i, words + len(h)
+            held.append(_distinct(h, first)[1])
+            docs, words, size, waiting = docs + j - i, words + len(h), size + int(off[j] - off[i]), waiting + len(held[-1])
+            if waiting > 2 * SLOTS:
+                df += np.bincount(np.concatenate(held), minlength=SLOTS)
+                held, waiting = [], 0
+    df += np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=SLOTS)
     for k in range(_SLOT_BUCKETS):
         part = df[k * SLOTS // _SLOT_BUCKETS : (k + 1) * SLOTS // _SLOT_BUCKETS]
         at = np.flatnonzero(part)
-        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([squeeze(np.diff(at, prepend=0).astype(np.int32))]), pa.array([squeeze(part[at].astype(np.int64))]), pa.array([docs if not k else 0]), pa.array([words if not k else 0])], schema=_SEEN)
+        yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([squeeze(np.diff(at, prepend=0).astype(np.int32))]), pa.array([squeeze(part[at])]), *[pa.array([x if not k else 0]) for x in (docs, words, size)]], schema=_SEEN)
 
 
 def _sum_seen(table: pa.Table) -> pa.Table:
     total = np.zeros(SLOTS // _SLOT_BUCKETS, np.int64)
     for slots, n in zip(table["slots"], table["n"], strict=True):
         total[np.cumsum(stretch(slots.as_py(), np.int32))] += stretch(n.as_py(), np.int64)
-    return pa.table({"bucket": table["bucket"].slice(0, 1), "df": pa.array([squeeze(total)]), "docs": pa.array([sum(table["docs"].to_pylist())]), "words": pa.array([sum(table["words"].to_pylist())])})
+    return pa.table({"bucket": table["bucket"].slice(0, 1), "df": pa.array([squeeze(total)]), **{c: pa.array([sum(table[c].to_pylist())]) for c in ("docs", "words", "size")}})
 
 
 def statistics(rows: DataFrame) -> Statistics:
     """Counts over all rows; the table of SLOTS numbers comes to the driver."""
-    kinds = "bucket long, slots binary, n binary, docs long, words long"
-    parts = {r["bucket"]: r for r in rows.select("text").mapInArrow(_seen, kinds).groupBy("bucket").applyInArrow(_sum_seen, "bucket long, df binary, docs long, words long").collect()}
+    kinds = "bucket long, slots binary, n binary, docs long, words long, size long"
+    parts = {r["bucket"]: r for r in rows.select("text").mapInArrow(_seen, kinds).groupBy("bucket").applyInArrow(_sum_seen, "bucket long, df binary, docs long, words long, size long").collect()}
     if not parts:
         return Statistics(0, 1.0, np.zeros(SLOTS, np.int64))
     docs = parts[0]["docs"]
-    return Statistics(docs, parts[0]["words"] / max(1, docs), np.concatenate([stretch(parts[k]["df"], np.int64) for k in range(_SLOT_BUCKETS)]))
+    return Statistics(docs, parts[0]["words"] / max(1, docs), np.concatenate([stretch(parts[k]["df"], np.int64) for k in range(_SLOT_BUCKETS)]), parts[0]["size"])
 
 
 def shard_keys(known: Statistics, most: int, ids: np.ndarray, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Each document's key: of its words that 2 to ``most`` documents have, the winner of the weighted race."""
     keys = mix(ids.astype(np.int64).view(np.uint64) ^ U(0xA5A5A5A5A5A5A5A5))
+    name, time = known.races(most)
     for i, j in slices(off, 1 << 20):
         h, _, _, first = word_hashes(buf[off[i] : off[j]], off[i : j + 1] - off[i])
         doc, slot = _distinct(h, first)
-        df = known.df[slot]
-        fit = (df > 1) & (df <= most)
-        doc, slot, df = doc[fit], slot[fit], df[fit]
-        name = mix(slot.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(1))
-        race = -np.log((name >> U(11)).astype(np.float64) / 2**53 + 2.0**-54) / known.idf(df) ** 2
-        order = np.lexsort((race, doc))
-        best = order[np.append(True, doc[order][1:] != doc[order][:-1])] if len(order) else order
-        keys[i + doc[best]] = name[best]
+        own = time[slot]
+        begin = np.flatnonzero(np.diff(doc, prepend=-1))
+        least = np.minimum.reduceat(own, begin) if len(own) else own
+        won = np.flatnonzero((own == np.repeat(least, np.diff(np.append(begin, len(own))))) & np.isfinite(own))
+        keys[i + doc[won]] = name[slot[won]]
     return keys.view(np.int64)
 
 
@@ -394,7 +435,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     prepare(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(F.col(text)).alias("text"))
     known = statistics(rows)
-    tasks = buckets_for(rows, "text", TASK_BYTES)
+    tasks = max(buckets(spark, 1), -(-known.size // TASK_BYTES))
     shared = spark.sparkContext.broadcast(known)  # SLOTS numbers, whatever the input
     dealt = rows.mapInArrow(_deal(shared, max(16, known.n // tasks // 4)), "key long, doc_id long, text string").repartition(tasks, "key").sortWithinPartitions("key", "doc_id", "text")
     kinds = ", ".join(f"`{f.name}` long" for f in _PIECES)
