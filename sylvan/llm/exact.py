@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, prepare, text_of
+from .frames import cut, free_names, prepare, text_of
 
 #: Most digests that are broadcast, and counters that the sketch keeps.
 HEAVY, TRACKED = 1000, 10_000
@@ -33,41 +33,47 @@ def _rank(doc_id: str, row: str | None = None) -> Column:
 
 def heavy_winners(digests: DataFrame, rank: Column) -> DataFrame:
     """``digest, first, size`` of at most HEAVY frequent digests, exact: the sketch only chooses which."""
-    proposed = digests.agg(F.expr(f"approx_top_k(__digest, {HEAVY}, {TRACKED})").alias("top"))
-    proposed = proposed.select(F.explode("top").alias("top")).where("top.count > 1").select(F.col("top.item").alias("__digest"))
-    found = digests.join(F.broadcast(proposed), "__digest", "left_semi")
-    return found.groupBy("__digest").agg(F.min(rank).alias("__first"), F.count(F.lit(1)).alias("__size")).where("__size > 1")
+    proposed = digests.agg(F.expr(f"approx_top_k(digest, {HEAVY}, {TRACKED})").alias("top"))
+    proposed = proposed.select(F.explode("top").alias("top")).where("top.count > 1").select(F.col("top.item").alias("digest"))
+    found = digests.join(F.broadcast(proposed), "digest", "left_semi")
+    return found.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null texts are empty texts.  Of rows with equal text the smallest id stays; of repeated rows one does;
-    a null id comes after all others.  An empty table gives an empty table; other columns are not read.
+    a null id comes after all others.  Texts of any length are read whole.  An empty table gives an empty
+    table; other columns are not read.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("__id"), digest(F.col(text)).alias("__digest")).withColumn("__row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(doc_id).alias("id"), digest(F.col(text)).alias("digest")).withColumn("row", F.monotonically_increasing_id())
     rows = cut(rows)
-    rank = _rank("__id", "__row")
-    winners = cut(heavy_winners(rows, rank))
-    split = rows.join(F.broadcast(winners), "__digest", "left")
-    group = Window.partitionBy("__digest")
-    rest = split.where("__size IS NULL").withColumns({"__first": F.min(rank).over(group), "__size": F.count(F.lit(1)).over(group)})
+    winners = cut(heavy_winners(rows, _rank("id", "row")))
+    split = rows.join(F.broadcast(winners), "digest", "left")
+    group = Window.partitionBy("digest")
+    rest = split.where("size IS NULL").withColumns({"first": F.min(_rank("id", "row")).over(group), "size": F.count(F.lit(1)).over(group)})
     return (
-        split.where("__size IS NOT NULL")
+        split.where("size IS NOT NULL")
         .unionByName(rest)
-        .select(F.col("__id").alias(doc_id), F.col("__first.id").alias("keep_id"), F.col("__size").alias("group_size"), (F.col("__first.row") == F.col("__row")).alias("kept"), F.col("__digest").alias("text_sha256"))
+        .select(F.col("id").alias(doc_id), F.col("first.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("first.row") == F.col("row")).alias("kept"), F.col("digest").alias("text_sha256"))
     )
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that stay, whole.  Heavy groups lose their copies before anything is shuffled."""
+    """The rows of docs that stay, whole, with all columns, whatever their names.
+
+    The rule is that of ``duplicate_groups``; of rows that share the least id one stays.  Heavy groups lose
+    their copies before anything is shuffled.
+    """
     prepare(docs.sparkSession)
-    rows = docs.withColumn("__digest", digest(F.col(text)))
-    winners = cut(heavy_winners(rows.select(doc_id, "__digest"), _rank(doc_id)))
-    left = rows.join(F.broadcast(winners), "__digest", "left").where(F.col("__size").isNull() | F.col("__first.id").eqNullSafe(F.col(doc_id)))
-    order = Window.partitionBy("__digest").orderBy(F.col(doc_id).asc_nulls_last())
-    return left.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, place, winner = free_names(docs.columns, "digest", "place", "winner")
+    rows = docs.withColumn(key, digest(F.col(text)))
+    winners = cut(heavy_winners(rows.select(F.col(doc_id).alias("id"), F.col(key).alias("digest")), _rank("id")))
+    winners = winners.select(F.col("digest").alias(key), F.struct("first.*").alias(winner))
+    left = rows.join(F.broadcast(winners), key, "left").where(F.col(winner).isNull() | F.col(winner)["id"].eqNullSafe(F.col(doc_id)))
+    order = Window.partitionBy(key).orderBy(F.col(doc_id).asc_nulls_last())
+    return left.withColumn(place, F.row_number().over(order)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = """

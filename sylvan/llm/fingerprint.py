@@ -158,7 +158,8 @@ def compare_neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next
     document; after the last comes the first, and a lone document follows itself.  Null texts are empty, null
     ids come last, and rows that share an id follow in descending order of their texts.  Texts move once, to
-    ranges of ids; a range also receives the one document that follows it.
+    ranges of ids; a range also receives the one document that follows it.  An empty table gives an empty
+    table; other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     prepare(spark)

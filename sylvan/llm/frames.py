@@ -22,6 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sylvan-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -57,5 +59,16 @@ def buckets_for(rows: DataFrame, column: str, size: int, factor: int = 1) -> int
     return max(buckets(rows.sparkSession, factor), -(-total // size))
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so in any letter case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))

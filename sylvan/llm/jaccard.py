@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import buckets, prepare, stored, text_of
+from .frames import buckets, free_names, prepare, stored, text_of
 from .textkit import U, column_bytes, mix, ranges, shingle_hashes, slices, span_hashes, word_spans
 
 WORDS, THRESHOLD = 5, 0.8
@@ -242,9 +242,14 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose id is the least of their class; rows that share such an id all stay."""
-    stay = similar_classes(docs, doc_id, text, threshold).where(F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias("__id")).distinct()
-    return docs.join(stay, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of docs whose id is the least of their class; rows that share such an id all stay.
+
+    All columns stay, whatever their names.  Nulls, empty texts, ties and repeated rows are treated as in
+    ``similar_classes``; an empty table gives an empty table.
+    """
+    (own,) = free_names(docs.columns, "id")
+    stay = similar_classes(docs, doc_id, text, threshold).where(F.col(doc_id).eqNullSafe(F.col("class_id"))).select(F.col(doc_id).alias(own)).distinct()
+    return docs.join(stay, F.col(doc_id).eqNullSafe(F.col(own)), "left_semi")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:

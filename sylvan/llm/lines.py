@@ -152,7 +152,12 @@ def repeated_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def remove_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The rows of docs, with all columns, without their repeated units."""
+    """The rows of docs without their repeated units.
+
+    All rows and columns stay, with their values, whatever the columns' names.  Null texts become empty ones;
+    null ids come first, ties and repeated rows are treated as in ``repeated_units``, and an empty table gives
+    an empty table.
+    """
     gone, n = _removals(docs, doc_id, text, least_words)
     rows = docs.withColumn(text, text_of(F.col(text)))
     return _finish(rows, gone, n, doc_id, text, docs.columns, rows.schema, True, _locate)

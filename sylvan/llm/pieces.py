@@ -6,6 +6,12 @@ piece of its own has one edge of byte pieces.  Forward Viterbi gives each place'
 which is the exact cost left to a search that comes from the end: backward A-star therefore leaves the lattice
 with whole segmentations in order of their scores.
 
+A segmentation's score is the sum of its pieces' scores in the model file, as the library adds them for the
+models that it searches.  The default model is one of merges: its scores are negative merge ranks, not
+log-probabilities, so the best segmentation has the least sum of ranks and need not be the one that the library
+gets by merging (of the different words of a sample it is the same for about half).  A model of log-probabilities
+can be given as ``model``; the search is the same.
+
 Two bytes that stand side by side in no piece, as a letter before a space do, cut the lattice: no edge crosses
 them, so the lattice of a text is a chain of lattices of short words.  Each different word is searched once while
 it is kept; the N best segmentations of a text are then found by the same search over the losses of its words'
@@ -248,7 +254,9 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     """The n best segmentations of each row's text: scores and checksums of the ids, best first; ``ids`` if asked.
 
     A space is put before a text that isn't empty and goes again in decoding; ``round_trip`` says that the best
-    ids spell the text.  Null texts are empty: no pieces, one segmentation of score 0.  Null ids stay null.
+    ids spell the text.  Null texts are empty: no pieces, one segmentation of score 0.  Null ids stay null,
+    repeated rows are encoded as often as they occur, an empty table gives an empty table, and texts of any
+    length are encoded whole.  Other columns are not read, whatever their names.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(F.col(text)).alias("text"))
@@ -256,7 +264,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
 
 def decode(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataFrame:
-    """rows with ``decoded``, the text that the ids spell, without the space put first; malformed bytes are replaced."""
+    """rows with ``decoded``, the text that the ids spell, without the space put first; malformed bytes are replaced.
+
+    Null ids give null.  All other columns stay; a column that is called ``decoded`` already is replaced.
+    """
     path = model or default_model()
     schema = rows.withColumn("decoded", F.lit("")).schema
     at = rows.columns.index(ids)
@@ -265,7 +276,8 @@ def decode(rows: DataFrame, ids: str = "ids", model: str | None = None) -> DataF
         words = Words.of(path, BEST)
         for batch in batches:
             texts = [None if x is None else words.decode(np.array(x, np.int64)).tobytes().decode("utf-8", "replace").removeprefix(" ") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"decoded": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return rows.mapInArrow(run, schema)
 

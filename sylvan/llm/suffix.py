@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import buckets, prepare, stored, text_of
+from .frames import buckets, free_names, prepare, stored, text_of
 from .textkit import U, blob_batch, blob_lengths, column_bytes, join_blobs, mix, ranges, slices
 
 LENGTH, GRAM = 100, 32
@@ -555,6 +555,9 @@ def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_ch
         left = buf[~take]
         bounds = np.concatenate([[0], np.cumsum(~take)])[off]
         columns = {c: docs[c] for c in docs.column_names}
+        if whole_characters:  # the rows' own columns, whatever their names
+            columns[text] = pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(left.tobytes())])
+            return pa.table([columns[n] for n in names], names=names).cast(schema)
         if "kept_sha256" in names:
             view = memoryview(np.ascontiguousarray(left))
             columns["kept_sha256"] = pa.array([hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
@@ -564,8 +567,6 @@ def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_ch
             pair = pa.StructArray.from_arrays([pa.array(first - off[doc]), pa.array(last + 1 - off[doc])], names=["start", "end"])
             columns["spans"] = pa.ListArray.from_arrays(pa.array(spans[off].astype(np.int32)), pair)
         columns |= {"n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(np.diff(total[off])), "n_spans": pa.array(np.diff(spans[off]))}
-        if text in names:
-            columns[text] = pa.Array.from_buffers(pa.string(), len(off) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(left.tobytes())])
         return pa.table([columns[n] for n in names], names=names).cast(schema)
 
     return run
@@ -605,21 +606,22 @@ def _grouped(n_groups: int):
     return run
 
 
-def _with_group(docs: DataFrame, doc_id: str, n_groups: int) -> DataFrame:
+def _with_group(docs: DataFrame, doc_id: str, n_groups: int, name: str) -> DataFrame:
     from pyspark.sql import types as T
 
     def run(batches):
         for batch in batches:
             group = pa.array(_spread(_ids(batch.column(batch.schema.get_field_index(doc_id)).cast(pa.int64())), n_groups))
-            yield pa.RecordBatch.from_arrays([*batch.columns, group], names=[*batch.schema.names, "__group"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, group], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__group", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _finish(docs: DataFrame, gone: DataFrame, n_groups: int, doc_id: str, text: str, names: list[str], schema, whole_characters: bool, locate=_by_row) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    left = _with_group(docs, doc_id, n_groups).groupBy("__group")
+    (group,) = free_names(docs.columns, "group")
+    left = _with_group(docs, doc_id, n_groups, group).groupBy(F.col(f"`{group}`"))
     run = _apply(doc_id, text, names, to_arrow_schema(schema), whole_characters, locate)
     return left.cogroup(gone.groupBy("bucket")).applyInArrow(run, schema)
 
@@ -644,7 +646,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """The rows of docs with their repeated bytes removed from the text.
 
     The rule is that of ``repeated_bytes``, but a character goes only if all its bytes do.  All rows and columns
-    stay; null texts become empty ones.
+    stay, with their values, whatever the columns' names; null texts become empty ones, null ids come first, and
+    an empty table gives an empty table.
     """
     gone, n_groups = _removals(docs, doc_id, text)
     rows = docs.withColumn(text, text_of(F.col(text)))

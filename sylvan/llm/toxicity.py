@@ -169,16 +169,18 @@ def _bags(vocabulary: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most=(TRAIN_TOXIC, TRAIN_CLEAN)) -> Model:
     """Fits a model on at most ``most`` labelled toxic and clean documents that aren't held out.
 
-    Null labels don't count; a document labelled twice is toxic if one label says so.  Without both labels, or
-    features that tell them apart, every text scores near 0.
+    Null labels don't count; a document labelled twice is toxic if one label says so, and of rows that share an
+    id one is taken, by a hash of its text.  Null and empty texts have no features.  Without both labels, or
+    features that tell them apart, as with empty tables, every text scores near 0.  Other columns are not read.
     """
     prepare(docs.sparkSession)
     nothing = Model(np.zeros(0, np.uint64), np.zeros(0), -12.0)
-    known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(toxic).cast("int")).alias("__toxic"))
-    part = lambda label, n: known.where(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(n)
+    known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
+    part = lambda label, n: known.where(F.col("toxic") == label).orderBy(F.xxhash64("id"), "id").limit(n)
     sample = part(1, most[0]).unionByName(part(0, most[1]))
-    rows = stored(docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id")).select(text_of(F.col(text)).alias("text"), "__toxic"), "labelled")
-    sizes = {r[0]: r[1] for r in rows.groupBy("__toxic").count().collect()}
+    texts = docs.select(F.col(doc_id).alias("id"), text_of(F.col(text)).alias("text")).join(F.broadcast(sample), "id")
+    rows = stored(texts.groupBy("id").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("one")).select("one.text", "one.toxic"), "labelled")  # one of the rows of an id
+    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return nothing
     chosen = rows.mapInArrow(_document_features, "bucket long, feature binary, toxic binary").groupBy("bucket").applyInArrow(_select(sizes[1], sizes[0]), "feature long").toArrow()
@@ -195,7 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, score`` for each row; null texts are empty and score 0."""
+    """``doc_id, score`` for each row, repeated ones too; null ids stay null; null texts are empty and score 0.
+
+    An empty table gives an empty table; other columns are not read, whatever their names.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -207,7 +212,11 @@ def scores(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
 
 def offending_sentences(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """``doc_id, start, end, score``: byte offsets, from its first word to its last, of each sentence that scores ``least``."""
+    """``doc_id, start, end, score``: byte offsets, from its first word to its last, of each sentence that scores ``least``.
+
+    Null ids stay null and repeated rows give their sentences again; texts without words, null ones included,
+    and an empty table give none.  Other columns are not read, whatever their names.
+    """
     prepare(docs.sparkSession)
 
     def run(batches):
@@ -225,7 +234,10 @@ def offending_sentences(docs: DataFrame, model: Model, doc_id: str = "doc_id", t
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of docs, with all columns, that score below ``reject``."""
+    """The rows of docs that score below ``reject``, with all columns, whatever their names.
+
+    Null texts score 0 and stay null; null ids, ties and repeated rows are treated like any other row.
+    """
     prepare(docs.sparkSession)
     at = docs.columns.index(text)
 

@@ -330,7 +330,7 @@ def op3_warc(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
     folder = new_folder(spark, "warc")
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_archives(spark, manifest, folder)
+    return read_archives(spark, manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

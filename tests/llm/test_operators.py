@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sylvan.llm import brown, exact, fingerprint, jaccard, lines, packing, pieces, suffix, textkit, toxicity, warc
 
@@ -33,6 +34,37 @@ def odd_rows():
     return [*ROWS[:5], ROWS[0], (None, None), (None, "z" * 150), (90, None), (91, ""), (92, " \n\t ")]
 
 
+#: Names of columns that operators make themselves, or once did.
+CLASHES = "n_bytes n_removed n_spans spans kept_sha256 group __group digest __digest place winner __n __size __first id __id __toxic toxic key bucket links root block rep lo hi decoded score row".split()
+
+
+def clashing(spark, rows):
+    """Documents with a column of each clashing name, which holds a text of its own."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.selectExpr("doc_id", "text", *[f"concat('{c} ', coalesce(doc_id, -1)) AS `{c}`" for c in CLASHES])
+
+
+@pytest.mark.parametrize("name", ["repeats", "units", "duplicates", "similar", "clean"])
+def test_other_columns_keep_their_values(spark, name):
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -12.0)
+    apply = {"repeats": suffix.remove_repeats, "units": lines.remove_units, "duplicates": exact.drop_duplicates, "similar": jaccard.drop_similar, "clean": lambda d: toxicity.keep_clean(d, model)}[name]
+    docs = clashing(spark, odd_rows())
+    out = apply(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[c] == f"{c} {-1 if r.doc_id is None else r.doc_id}" for r in got for c in CLASHES)
+    assert apply(docs.limit(0)).collect() == []
+
+
+def test_reading_operators_do_not_mind_other_columns(spark):
+    docs, labels = clashing(spark, odd_rows()), clashing(spark, [(1, "")]).withColumn("toxic", F.lit(1))
+    plain = docs.select("doc_id", "text")
+    for read in (suffix.repeated_bytes, lines.repeated_units, exact.duplicate_groups, jaccard.similar_classes, fingerprint.compare_neighbours, pieces.encode):
+        assert sorted(map(repr, read(docs).collect())) == sorted(map(repr, read(plain).collect())), read
+    assert len(toxicity.scores(docs, toxicity.train(docs, labels)).collect()) == len(odd_rows())
+    assert pieces.decode(pieces.encode(docs, with_ids=True).withColumn("decoded", F.lit(7))).columns.count("decoded") == 1
+
+
 def shingles(text):
     w = re.findall(WORD, text or "")
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -56,18 +88,25 @@ def test_column_builder_sorts_suffixes_and_measures_prefixes():
             assert min(same, limit) == prefix[a]
 
 
-def brute_repeats(rows, n=100):
+def brute_marks(rows, n=100):
+    """A byte of 1 for each byte of a text that is to go."""
     seen, out = set(), {}
     for i, t in rows:
         b = (t or "").encode()
-        gone = bytearray(len(b))
+        out[i] = gone = bytearray(len(b))
         for p in range(len(b) - n + 1):
             gram = b[p : p + n]
             if gram in seen:
                 gone[p : p + n] = b"\1" * n
             seen.add(gram)
-        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        out[i] = (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def brute_repeats(rows, n=100):
+    out = {}
+    for (i, t), gone in zip(rows, brute_marks(rows, n).values(), strict=True):
+        kept = bytes(x for x, g in zip((t or "").encode(), gone, strict=True) if not g)
+        out[i] = (len(gone), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest())
     return out
 
 

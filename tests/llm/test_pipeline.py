@@ -1,5 +1,9 @@
+import collections
+
 import corpus_pipeline
-from sylvan.llm import exact, jaccard
+from sylvan.llm import exact, jaccard, suffix
+
+from .test_operators import brute_marks
 
 
 def test_stages_keep_clean_documents_and_their_columns(spark, sf):
@@ -15,6 +19,31 @@ def test_stages_keep_clean_documents_and_their_columns(spark, sf):
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
 
 
+def test_the_whole_pipeline_and_its_suffix_stage(spark, tmp_path):
+    lead = "one and the same passage of plain words that stands in several of these documents word by word, and is long enough to go. "
+    rows = [(i, f"{lead if i % 3 == 0 else ''}document {i} speaks of {i * 7919 % 97} other things, é and {'x' * (i % 5)} more {i * 31}", "en", "web", 0) for i in range(20)]
+    rows += [(20, rows[3][1], "en", "web", 0), (21, None, "en", "web", 0)]
+    rows = [(i, t, lang, source, len(t or "")) for i, t, lang, source, _ in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id <> 20")
+    out = {r.doc_id: r for r in corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).collect()}
+    gone = brute_marks([(i, t) for i, t, *_ in rows if i != 20])
+    for i, t, *_ in rows:
+        if i != 20:
+            text, at = "", 0
+            for c in t or "":
+                n = len(c.encode())
+                text += "" if all(gone[i][at : at + n]) else c
+                at += n
+            assert out[i].text == text and out[i].n_chars == len(text) and out[i].lang == "en"
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = collections.Counter()
+    for r in packed:
+        whole[r.doc_id] += r.length
+    assert set(whole) == set(range(22)) - {20} and all(whole[r.doc_id] == r.doc_tokens for r in packed)
+
+
 def test_registered_queries_match_their_sql(spark, sf):
     from sylvan.llm import entries
 
@@ -22,4 +51,4 @@ def test_registered_queries_match_their_sql(spark, sf):
 
     for name, sql in entries.oracle_sql().items():
         columns, want = rows_of_sql(connect(sf), sql)
-        assert rows_of(entries.queries()[name](spark, sf).select(*columns)) == (columns, want), name
+        assert rows_of(entries.queries()[name](spark, sf)) == (columns, want), name
