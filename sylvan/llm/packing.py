@@ -19,6 +19,7 @@ a slot add up: with D different words a document on average the expected excess
 from __future__ import annotations
 
 import json
+import os
 import zlib
 
 import numpy as np
@@ -81,6 +82,7 @@ class WordIds:
         return cls._held[path]
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallel units
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -180,7 +182,10 @@ def tokenise(words: WordIds, buf: np.ndarray, off: np.ndarray):
         part, inner = buf[off[i] : off[j]], off[i : j + 1] - off[i]
         h, starts, ends, first = word_hashes(part, inner)
         if words.by_words:
-            unique, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            order = np.argsort(h)
+            new = np.append(True, h[order[1:]] != h[order[:-1]]) if len(h) else np.zeros(0, bool)
+            at, inverse = order[new], np.empty(len(h), np.int64)
+            unique, inverse[order] = h[at], np.cumsum(new) - 1
             place = words.look_up(unique, part, starts[at], ends[at])[inverse]
             n = words.bounds[place + 1] - words.bounds[place]
             own, total = words.flat[ranges(words.bounds[place], n)], np.concatenate([[0], np.cumsum(n)])[first]
@@ -200,7 +205,8 @@ def tokenise(words: WordIds, buf: np.ndarray, off: np.ndarray):
 def _distinct(h: np.ndarray, first: np.ndarray):
     """Each document's different slots: document and slot, ascending."""
     key = np.repeat(np.arange(len(first) - 1), np.diff(first)) * SLOTS + (h & U(SLOTS - 1)).astype(np.int64)
-    key = np.unique(key.astype(np.uint32) if (len(first) - 1) * SLOTS < 2**32 else key)
+    key = np.sort(key.astype(np.uint32) if (len(first) - 1) * SLOTS < 2**32 else key)
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     return (key // SLOTS).astype(np.int64), (key % SLOTS).astype(np.int64)
 
 
