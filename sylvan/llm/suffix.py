@@ -16,6 +16,7 @@ still meet at one.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import tempfile
@@ -105,6 +106,27 @@ def minimiser_runs(buf: np.ndarray, off: np.ndarray, n_buckets: int = 1, hot: np
     return doc, starts - off[doc], length, smallest, twice
 
 
+_BLOCK = 1 << 20
+
+
+def _write_over(file, values: np.ndarray) -> None:
+    """Writes an array front to back over what the file holds."""
+    file.seek(0)
+    view = memoryview(values.view(np.uint8))
+    for i in range(0, len(view), _BLOCK):
+        file.write(view[i : i + _BLOCK])
+
+
+def _read_over(file, n: int, dtype) -> np.ndarray:
+    """The n values at the front of a file, read block by block."""
+    out = np.empty(n, dtype)
+    file.seek(0)
+    view = memoryview(out.view(np.uint8))
+    for i in range(0, len(view), _BLOCK):
+        file.readinto(view[i : i + _BLOCK])
+    return out
+
+
 class ColumnBuilder:
     """Column-wise construction of the transform and common prefixes of a collection of strings.
 
@@ -133,21 +155,21 @@ class ColumnBuilder:
 
         First come the end markers of all alignments, with a position at or near the string's end.
         """
-        with tempfile.TemporaryDirectory(prefix="bwt-", dir=self.folder) as folder:
-            return self._build(folder)
+        with tempfile.TemporaryDirectory(prefix="bwt-", dir=self.folder) as folder, contextlib.ExitStack() as stack:
+            return self._build(folder, stack)
 
-    def _build(self, folder: str):
+    def _build(self, folder: str, stack):
         lengths, n_strings = self.lengths, len(self.lengths)
-        names = [[os.path.join(folder, f"{side}{what}") for what in ("prefixes", "links")] for side in range(2)]
+        files = [[stack.enter_context(open(os.path.join(folder, f"{side}{what}"), "w+b", buffering=0)) for what in ("prefixes", "links")] for side in range(2)]
         prefixes, links = np.zeros(0, np.uint8), np.zeros(0, np.uint64)
         places, strings = np.arange(n_strings), np.arange(n_strings)
         up = np.zeros(n_strings, np.uint8)
         below, down = places[:0], up[:0]
         trail = []
         for j in range(int(lengths.max(initial=0)) + 1):
-            read, write = names[j & 1], names[~j & 1]
-            if j:
-                prefixes, links = np.fromfile(read[0], np.uint8), np.fromfile(read[1], np.uint64)
+            read, write = files[j & 1], files[~j & 1]
+            if j:  # files only grow and are written over, so a round makes no new pages of them
+                prefixes, links = (_read_over(f, len(x), x.dtype) for f, x in zip(read, (prefixes, links), strict=True))
             # This round's suffixes go to their places, with their common prefixes.
             trail.append((places, strings))
             total = len(prefixes) + len(places)
@@ -157,12 +179,12 @@ class ColumnBuilder:
             out[old] = prefixes
             out[below] = down
             out[places] = up
-            out.tofile(write[0])
+            _write_over(write[0], out)
             prefixes = out
             # The symbol before each (none before a whole string) joins the transform; older symbols move down.
             more = np.flatnonzero(lengths[strings] > j)
             new = self.values[self.tails[strings[more]] - self.WIDTH * (j + 1)] | places[more].astype(np.uint64)
-            order = np.argsort(new, kind="stable")
+            order = np.argsort(new)  # all differ, by their places
             new, strings = new[order], strings[more[order]]
             if len(links):
                 moved = np.flatnonzero(old).astype(np.uint64)
@@ -174,7 +196,7 @@ class ColumnBuilder:
             kept[at] = False
             merged[kept], merged[at] = links, new
             links = merged
-            links.tofile(write[1])
+            _write_over(write[1], links)
             if not len(new):
                 break
             # Suffixes that start with a symbol stand as the symbol's places do.  The next suffixes' common
