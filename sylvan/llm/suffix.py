@@ -132,9 +132,11 @@ class ColumnBuilder:
 
     A symbol is four bytes, so that a round moves four bytes on; each string stands in the collection in the
     four alignments, from its end, its end less one byte, and so on, and each of its suffixes of four bytes or
-    more is thus in exactly one.  Two files, read and written front to back in each round, hold the transform,
-    as every symbol's places in order, and each suffix's common prefix in symbols with the one above it, up to
-    ``limit``.  Between rounds only the place of each string's newest suffix is kept in memory.
+    more is thus in exactly one.  Equal suffixes are one row of the transform for as long as they are equal: a
+    round groups the strings of each row by their next symbol, so copies cost little more than one string, and
+    that they are copies is what the rounds find.  Two files, written over and read front to back in each round,
+    hold the transform, as every symbol's places in order, and each row's common prefix in symbols with the one
+    above it, up to ``limit``.
     """
 
     WIDTH = 4
@@ -162,16 +164,16 @@ class ColumnBuilder:
         lengths, n_strings = self.lengths, len(self.lengths)
         files = [[stack.enter_context(open(os.path.join(folder, f"{side}{what}"), "w+b", buffering=0)) for what in ("prefixes", "links")] for side in range(2)]
         prefixes, links = np.zeros(0, np.uint8), np.zeros(0, np.uint64)
-        places, strings = np.arange(n_strings), np.arange(n_strings)
-        up = np.zeros(n_strings, np.uint8)
+        strings, row = np.arange(n_strings, dtype=np.int32), np.zeros(n_strings, np.int32)  # all strings end alike
+        places, up = np.zeros(1, np.int64), np.zeros(1, np.uint8)
         below, down = places[:0], up[:0]
         trail = []
         for j in range(int(lengths.max(initial=0)) + 1):
             read, write = files[j & 1], files[~j & 1]
             if j:  # files only grow and are written over, so a round makes no new pages of them
                 prefixes, links = (_read_over(f, len(x), x.dtype) for f, x in zip(read, (prefixes, links), strict=True))
-            # This round's suffixes go to their places, with their common prefixes.
-            trail.append((places, strings))
+            # This round's rows go to their places, with their common prefixes.
+            trail.append((places, strings, row))
             total = len(prefixes) + len(places)
             old = np.ones(total, bool)
             old[places] = False
@@ -181,11 +183,11 @@ class ColumnBuilder:
             out[places] = up
             _write_over(write[0], out)
             prefixes = out
-            # The symbol before each (none before a whole string) joins the transform; older symbols move down.
-            more = np.flatnonzero(lengths[strings] > j)
-            new = self.values[self.tails[strings[more]] - self.WIDTH * (j + 1)] | places[more].astype(np.uint64)
-            order = np.argsort(new)  # all differ, by their places
-            new, strings = new[order], strings[more[order]]
+            # The symbols before each row (none before a whole string) join the transform; older symbols move down.
+            more = lengths[strings] > j
+            strings = strings[more]
+            new, row = np.unique(self.values[self.tails[strings] - self.WIDTH * (j + 1)] | places[row[more]].astype(np.uint64), return_inverse=True)
+            row = row.astype(np.int32)
             if len(links):
                 moved = np.flatnonzero(old).astype(np.uint64)
                 spot = links & _PLACE
@@ -199,9 +201,9 @@ class ColumnBuilder:
             _write_over(write[1], links)
             if not len(new):
                 break
-            # Suffixes that start with a symbol stand as the symbol's places do.  The next suffixes' common
+            # Rows that start with a symbol stand as the symbol's places do, after the empty row.  The next rows' common
             # prefixes are one more than the least between a symbol and its like before or after.
-            places = at + n_strings
+            places = at + 1
             before, after = links[np.maximum(at - 1, 0)], links[np.minimum(at + 1, len(links) - 1)]
             here, before_at, after_at = ((x & _PLACE).view(np.int64) for x in (new, before, after))
             table = self._table(prefixes)
@@ -248,20 +250,24 @@ class ColumnBuilder:
         return padded.reshape(-1), left.reshape(-1), right.reshape(-1), levels
 
     def _read_off(self, prefixes, trail):
-        """Where each round's suffixes stand in the end: later rounds push them down."""
-        n = len(prefixes)
-        owner, back = np.empty(n, np.int32), np.empty(n, np.int32)
-        free = np.arange(n)
+        """Where each round's rows stand in the end, as later rounds push them down; a line for each string of a row."""
+        free = np.arange(len(prefixes))
+        rows, strings, backs = [], [], []
         for j in range(len(trail) - 1, -1, -1):
-            places, strings = trail[j]
-            final = free[places]
-            owner[final], back[final] = strings, j
+            places, members, row = trail[j]
+            rows.append(free[places][row].astype(np.int32))
+            strings.append(members)
+            backs.append(np.full(len(members), j, np.int32))
             if j:
                 keep = np.ones(len(free), bool)
                 keep[places] = False
                 free = free[keep]
+        rows, owner, back = (np.concatenate(x) for x in (rows, strings, backs))
+        order = np.argsort(rows)
+        rows, owner, back = rows[order], owner[order], back[order]
         byte = self.whole[owner] - self.shift[owner] - self.WIDTH * back
-        return owner % max(1, self.count), byte, prefixes
+        first = np.append(True, rows[1:] != rows[:-1])
+        return owner % max(1, self.count), byte, np.where(first, prefixes[rows], np.minimum(back, self.limit).astype(np.uint8))
 
 
 _ASK = pa.schema([("bucket", pa.int64()), ("asked", pa.binary()), ("ask_id", pa.binary()), ("ask_start", pa.binary()), ("ask_run", pa.binary()), ("many", pa.binary()), ("many_n", pa.binary()), ("sure", pa.binary()), ("sure_id", pa.binary()), ("sure_start", pa.binary()), ("sure_run", pa.binary())])
