@@ -490,10 +490,12 @@ def repeated_windows(data, starts, runs, rank):
     new_class = prefix < builder.limit
     cls = np.cumsum(new_class)
     string, position, cls = string[window], position[window], cls[window]
-    order = np.lexsort((position, rank[string], cls))
-    later = np.zeros(len(order), bool)
-    later[1:] = cls[order][1:] == cls[order][:-1]
-    return string[order[later]], position[order[later]]
+    if not len(cls):
+        return string, position
+    place = rank[string].astype(np.int64) << 9 | position  # a position is below MAX_RUN
+    begin = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+    later = place != np.repeat(np.minimum.reduceat(place, begin), np.diff(np.append(begin, len(cls))))
+    return string[later], position[later]
 
 
 def _find(n_groups: int):
