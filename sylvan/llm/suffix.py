@@ -463,9 +463,9 @@ def _may_repeat(data: np.ndarray, starts: np.ndarray, runs: np.ndarray):
     gram = np.concatenate(grams)
     index = ranges(starts - bounds[0], runs)
     inside = ranges(starts - bounds[0], runs + LENGTH - 2 * GRAM)  # starts of 64 bytes within a string
-    _, inverse, n = np.unique(gram[inside], return_inverse=True, return_counts=True)
+    slot = (gram[inside] >> U(42)).astype(np.int64)  # those that share a slot by chance go on, too
     again = np.zeros(len(gram), bool)
-    again[inside] = n[inverse] > 1
+    again[inside] = np.bincount(slot, minlength=1 << 22)[slot] > 1
     ok = again[index] & again[index + LENGTH - 2 * GRAM]
     owner = np.repeat(np.arange(len(starts)), runs)
     new = ok.copy()
