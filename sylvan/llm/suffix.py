@@ -34,7 +34,7 @@ SPAN = LENGTH - GRAM + 1
 #: A minimiser with more than this share of all strings ranks last; at most 1 / HOT_SHARE are broadcast.
 HOT_SHARE = 1 / 2000
 #: Equal strings at hand that go on to the construction; more of them are a hot group, of which one goes on.
-COPIES = 2
+COPIES = 4
 #: Most strings in one construction, unless one minimiser has more.
 BUILD = 8_000
 MAX_RUN = 255
