@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ("g1_count", "f1_filter", "tpch_q1", "tpch_q3", "tpch_q5", "tpch_q6", "tpch_q12", "tpch_q14", "k1_first_witness", "k5_left_anti", "g11_group_fk", "g12_ungroup", "w1_moving_sum", "w3_lag", "d1_json", "n2_descendants")
+HEADLINE = ("g1_count", "f1_filter", "sum_by_status", "revenue_top_orders", "revenue_by_nation", "tpch_q6", "lines_by_priority", "promotion_revenue", "k1_first_witness", "k5_left_anti", "g11_group_fk", "g12_ungroup", "w1_moving_sum", "w3_lag", "d1_json", "n2_descendants")
 
 
 def main() -> None:

@@ -93,10 +93,16 @@ def graph(nodes: dict[str, tuple[DataFrame, str]], edges: dict[str, tuple[DataFr
 
 
 def triples(df: DataFrame) -> Arbor:
-    """Subject, predicate, object rows: literal objects are properties, objects that are subjects are links."""
-    subjects = df.select(F.col("subject").alias("name")).distinct()
-    ids = subjects.select("name", (F.pmod(F.xxhash64("name"), F.lit(2**40))).alias("key"))
-    literal = df.join(ids.select(F.col("name").alias("object")), "object", "left_anti").groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "object"))).alias("all"))
+    """Subject, predicate, object rows: literal objects are properties, objects that are subjects are links.
+
+    Several literals of one predicate are one property, in the order of their texts with line ends between, so
+    that ``lines`` parts them again.  Subjects are numbered in the order of their names.
+    """
+    from ..operators.ordinals import with_ordinals
+
+    ids = with_ordinals(df.select(F.col("subject").alias("name")).distinct(), [F.col("name")], "key").select("name", (F.col("key") - 1).alias("key"))
+    literal = df.join(ids.select(F.col("name").alias("object")), "object", "left_anti").groupBy("subject", "predicate").agg(F.array_join(F.array_sort(F.collect_set("object")), "\n").alias("object"))
+    literal = literal.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "object"))).alias("all"))
     rows = ids.join(literal, F.col("name") == F.col("subject"), "left").select("key", F.col("name").alias("iri"), "all")
     arbor = graph({"subject": (rows.select("key", "iri"), "key")}, {})
     with_props = arbor.nodes.join(rows.select(F.col("iri").alias("__iri"), "all"), F.col("props")["iri"] == F.col("__iri"), "left")

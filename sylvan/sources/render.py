@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from html import escape
 
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_XML_NAME = re.compile(r"[^\W\d][\w.-]*")
+
+
 def _children(rows: list[dict]) -> dict:
     below: dict = {}
     for r in rows:
@@ -40,6 +44,8 @@ def as_json(r, below):
 
 def as_xml(r, below) -> str:
     name = r["name"] or "root"
+    if not _XML_NAME.fullmatch(name):  # an item of a list, or a key that is no element name
+        name = "item"
     attributes = "".join(f' {k}="{escape(v or "")}"' for k, v in (r["props"] or [])) if "element" in (r["traits"] or []) else ""
     inner = "".join(as_xml(c, below) for c in below.get(r["id"], []))
     text = escape(r["value"] or "", False) if not inner else ""

@@ -15,53 +15,53 @@ from sylvan.streaming import stream
 
 
 @pytest.fixture(scope="module")
-def music(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("db") / "m.db")
+def harbour(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("db") / "h.db")
     con = sqlite3.connect(path)
     con.executescript(
-        """CREATE TABLE singers (id INTEGER PRIMARY KEY, name TEXT);
-        CREATE TABLE songs (id INTEGER PRIMARY KEY, title TEXT, singer INTEGER REFERENCES singers(id), secs INTEGER, price REAL);
-        INSERT INTO singers VALUES (1, 'Ida'), (2, 'Bo'), (3, 'Cy');
-        INSERT INTO songs VALUES (1, 'Dawn', 1, 430, 1.29), (2, 'Noon', 1, 480, 0.99), (3, 'Dusk', 2, 95, 1.29), (4, 'Night', NULL, 10, 0.5);"""
+        """CREATE TABLE docks (no INTEGER PRIMARY KEY, side TEXT, depth REAL);
+        CREATE TABLE boats (reg INTEGER PRIMARY KEY, kind TEXT, dock INTEGER REFERENCES docks(no), tons INTEGER);
+        INSERT INTO docks VALUES (10, 'north', 4.5), (20, 'south', 7), (30, 'south', NULL);
+        INSERT INTO boats VALUES (5, 'tug', 20, 61), (6, 'barge', 20, 800), (7, 'ferry', 10, 350), (8, 'tug', NULL, 58), (9, 'skiff', 10, 2);"""
     )
     con.close()
     return Engine(spark, connectors.sqlite(spark, path))
 
 
 SQL = [
-    "SELECT title, price FROM songs WHERE price < 1 ORDER BY title",
-    "SELECT count(*) FROM songs",
-    "SELECT singer, count(*) AS n FROM songs WHERE singer IS NOT NULL GROUP BY singer HAVING count(*) > 1",
-    "SELECT songs.title, singers.name AS who FROM songs JOIN singers ON singers.id = songs.singer WHERE secs > 90",
-    "SELECT DISTINCT price FROM songs",
-    "SELECT title FROM songs WHERE title LIKE 'D%' OR id IN (2, 4) ORDER BY secs DESC LIMIT 2",
-    "SELECT avg(secs) FROM songs",
+    "SELECT kind, tons FROM boats WHERE tons > 100 ORDER BY kind",
+    "SELECT count(*) FROM docks",
+    "SELECT dock, count(*) AS n FROM boats WHERE dock IS NOT NULL GROUP BY dock HAVING count(*) > 1",
+    "SELECT boats.kind, docks.side AS at FROM boats JOIN docks ON docks.no = boats.dock WHERE tons < 400",
+    "SELECT DISTINCT side FROM docks",
+    "SELECT kind FROM boats WHERE kind LIKE 't%' OR reg IN (6, 9) ORDER BY tons DESC LIMIT 3",
+    "SELECT max(depth) FROM docks",
 ]
 
 
 @pytest.mark.parametrize("text", SQL)
-def test_imported_sql_gives_the_rows_of_spark_sql(spark, music, text):
-    want = importers.passthrough(spark, music.source, text).collect()
-    got = music.query(importers.sql(text)).collect()
+def test_imported_sql_gives_the_rows_of_spark_sql(spark, harbour, text):
+    want = importers.passthrough(spark, harbour.source, text).collect()
+    got = harbour.query(importers.sql(text)).collect()
     assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in want)
 
 
-@pytest.mark.parametrize("text", ["SELECT a FROM b UNION SELECT c FROM d", "DELETE FROM songs", "SELECT a FROM b LEFT JOIN c ON a = d"])
+@pytest.mark.parametrize("text", ["SELECT a FROM b UNION SELECT c FROM d", "DELETE FROM docks", "SELECT a FROM b LEFT JOIN c ON a = d"])
 def test_other_sql_is_refused(text):
     with pytest.raises(importers.TranslationError):
         importers.sql(text)
 
 
-def test_keys_links_and_reverse_links(music):
-    assert music.values("/songs/1::singer-->::name") == ["Ida"]
-    assert music.values("/songs/4::singer-->::name @| count") == [0]
-    assert music.values("/singers/1<-singer::title") == ["Dawn", "Noon"]
-    assert music.values("/songs/3->singer") == ["/singers/2"]
-    assert music.values("/*") == ["/singers", "/songs"]
-    assert music.values("/singers/* | rec(::name, 'n', (<-singer @| count))") == [{"name": "Ida", "n": 2}, {"name": "Bo", "n": 1}, {"name": "Cy", "n": 0}]
-    assert music.values("/songs/2/* | :::name") == ["id", "title", "singer", "secs", "price"]
+def test_keys_links_and_reverse_links(harbour):
+    assert harbour.values("/boats/7::dock-->::side") == ["north"]
+    assert harbour.values("/boats/8::dock-->::side @| count") == [0]
+    assert harbour.values("/docks/20<-dock::kind") == ["tug", "barge"]
+    assert harbour.values("/boats/9->dock") == ["/docks/10"]
+    assert harbour.values("/*") == ["/boats", "/docks"]
+    assert harbour.values("/docks/* | rec(::no, 'load', (<-dock::tons @| sum))") == [{"no": 10, "load": 352}, {"no": 20, "load": 861}, {"no": 30, "load": None}]
+    assert harbour.values("/docks/10/* | :::name") == ["no", "side", "depth"]
     with pytest.raises(CompileError):
-        music.values("/nothing/*")
+        harbour.values("/cranes/*")
 
 
 def test_xpath_and_jq(spark):
@@ -121,23 +121,30 @@ def test_graphs_and_models(spark):
 
 
 def test_triples(spark):
-    df = spark.createDataFrame([("ann", "age", "5"), ("ann", "knows", "bob"), ("bob", "age", "7")], "subject string, predicate string, object string")
-    e = Engine(spark, connectors.triples(df))
-    assert e.values("//ann->knows::age") == ["7"]
+    rows = [("elm", "height", "30"), ("elm", "shades", "fern"), ("fern", "height", "1"), ("elm", "name", "Ulme"), ("elm", "name", "Orme"), ("elm", "shades", "moss"), ("moss", "height", "0.1")]
+    e = Engine(spark, connectors.triples(spark.createDataFrame(rows, "subject string, predicate string, object string")))
+    assert e.values("//elm->shades::height") == ["1", "0.1"]
+    assert e.values("//elm::name") == ["Orme\nUlme"]  # two values of one predicate
+    assert e.values("//elm::name | lines") == ["Orme", "Ulme"]
 
 
-def test_mounts_join_across_sources(spark, music):
-    rows = files.delimited_text(spark, "id,note\n1,good\n2,bad\n")
-    e = mount(spark, db=music.source, notes=rows)
-    assert e.values("/db/singers/* <=> /notes/row[::id = $$::id] | rec(::name, 'note', $*1::note)") == [{"name": "Ida", "note": "good"}, {"name": "Bo", "note": "bad"}]
+def test_lists_become_elements(spark):
+    e = Engine(spark, files.arbor_of(spark, "json", '{"top": {"tags": ["x", {"2nd key": 1}]}}'))
+    assert e.values("/top | xml") == ["<top><tags><item>x</item><item><item>1</item></item></tags></top>"]
 
 
-def test_saving_refuses_to_overwrite(spark, music, tmp_path):
+def test_mounts_join_across_sources(spark, harbour):
+    rows = files.delimited_text(spark, "at,rate\n20,high\n10,low\n")
+    e = mount(spark, db=harbour.source, fees=rows)
+    assert e.values("/db/docks/* <=> /fees/row[::at = $$::no] | rec(::side, 'rate', $*1::rate)") == [{"side": "north", "rate": "low"}, {"side": "south", "rate": "high"}]
+
+
+def test_saving_refuses_to_overwrite(spark, harbour, tmp_path):
     target = str(tmp_path / "out")
-    save(music.query("/songs/*::title"), target)
-    assert spark.read.json(target).count() == 4
+    save(harbour.query("/boats/*::kind"), target)
+    assert spark.read.json(target).count() == 5
     with pytest.raises(Exception, match="exists"):
-        save(music.query("/songs/*::title"), target)
+        save(harbour.query("/boats/*::kind"), target)
 
 
 def test_streams(spark, tmp_path):
