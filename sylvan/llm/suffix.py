@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import buckets, free_names, prepare, stored, text_of
-from .textkit import U, blob_batch, blob_lengths, column_bytes, join_blobs, mix, ranges, slices
+from .textkit import U, blob_batch, column_bytes, join_blobs, mix, ranges, slices
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1

@@ -134,10 +134,6 @@ def stretch(blob: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(n, size // n).T).view(dtype).ravel()
 
 
-def blob_lengths(column) -> np.ndarray:
-    return np.diff(column_bytes(column)[1])
-
-
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each of the ranges, concatenated."""
     total = int(lengths.sum())

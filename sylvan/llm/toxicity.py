@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import prepare, stored, text_of
-from .textkit import FOLDED_VALUES, U, blob_batch, blob_lengths, column_bytes, join_blobs, mix, slices, span_hashes, word_spans
+from .textkit import FOLDED_VALUES, U, blob_batch, column_bytes, join_blobs, mix, slices, span_hashes, squeeze, stretch, word_spans
 
 #: Most labelled documents of each label that the model is fitted on, chosen by a hash of their ids.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 5000
@@ -159,7 +159,7 @@ def _bags(vocabulary: np.ndarray):
                 words, sentence, _, of, _, _ = sentence_words(buf[off[i] : off[i + 1]], off[i : i + 2] - off[i])
                 at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
                 hit = vocabulary[at] == words
-                rows.append((label, int(of[-1]), at[hit].astype(np.int32).tobytes(), np.broadcast_to(sentence[:, None], hit.shape)[hit].astype(np.int32).tobytes()))
+                rows.append((label, int(of[-1]), squeeze(at[hit].astype(np.int32)), squeeze(np.broadcast_to(sentence[:, None], hit.shape)[hit].astype(np.int32))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["toxic", "sentences", "feature", "sentence"])
 
@@ -190,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     bags = rows.mapInArrow(_bags(vocabulary), "toxic int, sentences int, feature binary, sentence binary").toArrow()
     count = bags["sentences"].to_numpy().astype(np.int64)
     first = np.cumsum(count) - count
-    feature, own = join_blobs(bags["feature"], np.int32), join_blobs(bags["sentence"], np.int32)
-    sentence = own + np.repeat(first, blob_lengths(bags["feature"]) // 4)
+    features, owns = ([stretch(b, np.int32) for b in bags[c].to_pylist()] for c in ("feature", "sentence"))
+    feature, sentence = np.concatenate(features), np.concatenate(owns) + np.repeat(first, [len(x) for x in features])
     weights, bias = fit(feature, sentence, np.repeat(np.arange(len(count)), count), bags["toxic"].to_numpy().astype(np.int64), len(vocabulary))
     return Model(vocabulary, weights, bias)
 
