@@ -36,7 +36,7 @@ HOT_SHARE = 1 / 2000
 #: Equal strings at hand that go on to the construction; more of them are a hot group, of which one goes on.
 COPIES = 4
 #: Most strings in one construction, unless one minimiser has more.
-BUILD = 8_000
+BUILD = 2_000
 MAX_RUN = 255
 _GRAM_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _NO_ID = -(2**63)
@@ -189,7 +189,7 @@ class ColumnBuilder:
             new, row = np.unique(self.values[self.tails[strings] - self.WIDTH * (j + 1)] | places[row[more]].astype(np.uint64), return_inverse=True)
             row = row.astype(np.int32)
             if len(links):
-                moved = np.flatnonzero(old).astype(np.uint64)
+                moved = np.flatnonzero(old).astype(np.uint32)
                 spot = links & _PLACE
                 links ^= spot
                 links |= moved[spot.view(np.int64)]
