@@ -38,9 +38,10 @@ COPIES = 4
 #: Most strings in one construction, unless one minimiser has more.
 BUILD = 2_000
 MAX_RUN = 255
+#: Bytes of a symbol in a construction; LENGTH is a multiple.
+WIDTH = 5
 _GRAM_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 _NO_ID = -(2**63)
-_PLACE = np.uint64(2**32 - 1)
 
 
 def gram_hashes(buf: np.ndarray) -> np.ndarray:
@@ -130,8 +131,8 @@ def _read_over(file, n: int, dtype) -> np.ndarray:
 class ColumnBuilder:
     """Column-wise construction of the transform and common prefixes of a collection of strings.
 
-    A symbol is four bytes, so that a round moves four bytes on; each string stands in the collection in the
-    four alignments, from its end, its end less one byte, and so on, and each of its suffixes of four bytes or
+    A symbol is four bytes, or five, so that a round moves as many on; each string stands in the collection in
+    as many alignments, from its end, its end less one byte, and so on, and each of its suffixes of a symbol or
     more is thus in exactly one.  Equal suffixes are one row of the transform for as long as they are equal: a
     round groups the strings of each row by their next symbol, so copies cost little more than one string, and
     that they are copies is what the rounds find.  Two files, written over and read front to back in each round,
@@ -139,17 +140,20 @@ class ColumnBuilder:
     above it, up to ``limit``.
     """
 
-    WIDTH = 4
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, limit: int = LENGTH // 4, folder: str | None = None):
-        wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.uint64)
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, limit: int = LENGTH // 4, folder: str | None = None, width: int = 4):
         n = len(data)
-        self.values = wide[:n] << U(56) | wide[1 : n + 1] << U(48) | wide[2 : n + 2] << U(40) | wide[3 : n + 3] << U(32)
+        if n + width * len(starts) >= 1 << 64 - 8 * width:
+            raise ValueError("too many bytes for places beside symbols of this width")
+        wide = np.concatenate([data, np.zeros(width - 1, np.uint8)]).astype(np.uint64)
+        self.values = np.zeros(n, np.uint64)
+        for k in range(width):
+            self.values |= wide[k : n + k] << U(56 - 8 * k)
+        self.width, self.place = width, U((1 << 64 - 8 * width) - 1)  # the bits of a link that hold its place
         self.count, self.limit, self.folder = len(starts), limit, folder
-        shift = np.repeat(np.arange(self.WIDTH), self.count)
-        self.whole = np.tile(lengths, self.WIDTH)
-        self.tails = np.tile(starts + lengths, self.WIDTH) - shift
-        self.lengths = np.maximum(self.whole - shift, 0) // self.WIDTH
+        shift = np.repeat(np.arange(width), self.count)
+        self.whole = np.tile(lengths, width)
+        self.tails = np.tile(starts + lengths, width) - shift
+        self.lengths = np.maximum(self.whole - shift, 0) // width
         self.shift = shift
 
     def build(self):
@@ -161,7 +165,7 @@ class ColumnBuilder:
             return self._build(folder, stack)
 
     def _build(self, folder: str, stack):
-        lengths, n_strings = self.lengths, len(self.lengths)
+        lengths, n_strings, place = self.lengths, len(self.lengths), self.place
         files = [[stack.enter_context(open(os.path.join(folder, f"{side}{what}"), "w+b", buffering=0)) for what in ("prefixes", "links")] for side in range(2)]
         prefixes, links = np.zeros(0, np.uint8), np.zeros(0, np.uint64)
         strings, row = np.arange(n_strings, dtype=np.int32), np.zeros(n_strings, np.int32)  # all strings end alike
@@ -186,11 +190,11 @@ class ColumnBuilder:
             # The symbols before each row (none before a whole string) join the transform; older symbols move down.
             more = lengths[strings] > j
             strings = strings[more]
-            new, row = np.unique(self.values[self.tails[strings] - self.WIDTH * (j + 1)] | places[row[more]].astype(np.uint64), return_inverse=True)
+            new, row = np.unique(self.values[self.tails[strings] - self.width * (j + 1)] | places[row[more]].astype(np.uint64), return_inverse=True)
             row = row.astype(np.int32)
             if len(links):
                 moved = np.flatnonzero(old).astype(np.uint32)
-                spot = links & _PLACE
+                spot = links & place
                 links ^= spot
                 links |= moved[spot.view(np.int64)]
             at = np.searchsorted(links, new) + np.arange(len(new))
@@ -205,57 +209,40 @@ class ColumnBuilder:
             # prefixes are one more than the least between a symbol and its like before or after.
             places = at + 1
             before, after = links[np.maximum(at - 1, 0)], links[np.minimum(at + 1, len(links) - 1)]
-            here, before_at, after_at = ((x & _PLACE).view(np.int64) for x in (new, before, after))
+            here, before_at, after_at = ((x & place).view(np.int64) for x in (new, before, after))
             table = self._table(prefixes)
-            like = (at > 0) & ((before ^ new) <= _PLACE)
+            like = (at > 0) & ((before ^ new) <= place)
             up = np.zeros(len(new), np.uint8)
             up[like] = self._least(table, before_at[like] + 1, here[like] + 1)
-            like = (at + 1 < len(links)) & ((after ^ new) <= _PLACE)
+            like = (at + 1 < len(links)) & ((after ^ new) <= place)
             below, down = places[like] + 1, self._least(table, here[like] + 1, after_at[like] + 1)
         return self._read_off(prefixes, trail)
 
     def _least(self, table, lo, hi):
         """min(limit, 1 + the least prefix in [lo, hi)) for each pair; hi > lo."""
-        prefixes, left, right, levels = table
-        a, b = lo >> 6, (hi - 1) >> 6
-        out = np.minimum(right[lo], left[hi - 1])
-        middle = np.flatnonzero(b - a > 1)
-        if len(middle):
-            first, n = a[middle] + 1, b[middle] - a[middle] - 1
-            level = np.frexp(n)[1] - 1
-            for k in np.unique(level):
-                m = level == k
-                at, x = middle[m], levels[k]
-                out[at] = np.minimum(out[at], np.minimum(x[first[m]], x[first[m] + n[m] - (1 << k)]))
-        near = np.flatnonzero(a == b)
-        if len(near):
-            near = near[np.argsort(lo[near], kind="stable")]
-            pairs = np.empty(2 * len(near), np.int64)
-            pairs[0::2], pairs[1::2] = lo[near], hi[near]
-            out[near] = np.minimum.reduceat(prefixes, pairs)[0::2]
-        return np.minimum(out + np.uint8(1), np.uint8(self.limit))
+        level = np.frexp(hi - lo)[1] - 1
+        at = level * table.shape[1]
+        flat = table.reshape(-1)
+        return np.minimum(np.minimum(flat[at + lo], flat[at + hi - (1 << level)]) + np.uint8(1), np.uint8(self.limit))
 
     @staticmethod
     def _table(prefixes):
-        """Running minima in blocks of 64 from both sides, and minima of powers of two of blocks."""
+        """Minima of 1, 2, 4, ... prefixes from each row on."""
         n = len(prefixes)
-        padded = np.full((n // 64 + 1, 64), 255, np.uint8)
-        padded.reshape(-1)[:n] = prefixes
-        left = np.minimum.accumulate(padded, axis=1)
-        right = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1]
-        levels = [np.ascontiguousarray(left[:, -1])]
-        while len(levels[-1]) > 1 << (len(levels) - 1):
-            x, step = levels[-1], 1 << (len(levels) - 1)
-            levels.append(np.minimum(x[:-step], x[step:]))
-        return padded.reshape(-1), left.reshape(-1), right.reshape(-1), levels
+        table = np.empty((n.bit_length(), n), np.uint8)
+        table[0] = prefixes
+        for k in range(1, len(table)):
+            step, size = 1 << k - 1, n - (1 << k) + 1
+            np.minimum(table[k - 1, :size], table[k - 1, step : step + size], out=table[k, :size])
+        return table
 
     def _read_off(self, prefixes, trail):
         """Where each round's rows stand in the end, as later rounds push them down; a line for each string of a row."""
-        free = np.arange(len(prefixes))
+        free = np.arange(len(prefixes), dtype=np.int32)
         rows, strings, backs = [], [], []
         for j in range(len(trail) - 1, -1, -1):
             places, members, row = trail[j]
-            rows.append(free[places][row].astype(np.int32))
+            rows.append(free[places][row])
             strings.append(members)
             backs.append(np.full(len(members), j, np.int32))
             if j:
@@ -265,7 +252,7 @@ class ColumnBuilder:
         rows, owner, back = (np.concatenate(x) for x in (rows, strings, backs))
         order = np.argsort(rows)
         rows, owner, back = rows[order], owner[order], back[order]
-        byte = self.whole[owner] - self.shift[owner] - self.WIDTH * back
+        byte = self.whole[owner] - self.shift[owner] - self.width * back
         first = np.append(True, rows[1:] != rows[:-1])
         return owner % max(1, self.count), byte, np.where(first, prefixes[rows], np.minimum(back, self.limit).astype(np.uint8))
 
@@ -482,10 +469,10 @@ def repeated_windows(data, starts, runs, rank):
 
     ``rank`` orders the strings' places: of equal windows the one with the least (rank of its string, offset) stays.
     """
-    builder = ColumnBuilder(data, starts, runs + LENGTH - 1)
+    builder = ColumnBuilder(data, starts, runs + LENGTH - 1, LENGTH // WIDTH, width=WIDTH)
     string, position, prefix = builder.build()
     window = position < runs[string]
-    window[: builder.WIDTH * len(starts)] = False
+    window[: WIDTH * len(starts)] = False
     # Suffixes of one window stand together; between them may stand none that isn't one (it would be shorter).
     new_class = prefix < builder.limit
     cls = np.cumsum(new_class)

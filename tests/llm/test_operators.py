@@ -88,6 +88,19 @@ def test_column_builder_sorts_suffixes_and_measures_prefixes():
             assert min(same, limit) == prefix[a]
 
 
+@pytest.mark.parametrize("width", [4, 5])
+def test_wider_symbols_find_the_same_windows(width, monkeypatch):
+    monkeypatch.setattr(suffix, "WIDTH", width)
+    texts = [t.encode() for t in TEXTS if 100 <= len(t) <= 354]
+    size = np.array([len(t) for t in texts])
+    string, place = suffix.repeated_windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size - 99, np.arange(len(texts)))
+    seen, later = set(), set()
+    for i, t in enumerate(texts):
+        for q in range(len(t) - 99):
+            (later if t[q : q + 100] in seen else seen).add((i, q) if t[q : q + 100] in seen else t[q : q + 100])
+    assert set(zip(string.tolist(), place.tolist(), strict=True)) == later
+
+
 def brute_marks(rows, n=100):
     """A byte of 1 for each byte of a text that is to go."""
     seen, out = set(), {}
