@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import buckets, free_names, prepare, stored, text_of
-from .textkit import U, blob_batch, column_bytes, join_blobs, mix, ranges, slices
+from .frames import buckets_for, free_names, prepare, stored, text_of
+from .textkit import U, blob_batch, column_bytes, gather, join_blobs, mix, ranges, slices
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -35,8 +35,12 @@ SPAN = LENGTH - GRAM + 1
 HOT_SHARE = 1 / 2000
 #: Equal strings at hand that go on to the construction; more of them are a hot group, of which one goes on.
 COPIES = 4
-#: Most strings in one construction, unless one minimiser has more.
+#: Most strings in one construction, before those of more than SPAN windows are shortened to that.
 BUILD = 2_000
+#: A minimiser with more strings is divided by the least hash of its windows' substrings of so many bytes, again and again.
+FINER = (64, 80, 96, LENGTH)
+#: Most bytes of texts in a group on average.
+GROUP = 8 << 20
 MAX_RUN = 255
 #: Bytes of a symbol in a construction; LENGTH is a multiple.
 WIDTH = 5
@@ -67,6 +71,13 @@ def group_key(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return (h % n) << U(31) | (h // n) & U(2**31 - 1)
 
 
+def shorter_runs(length: np.ndarray, most: int):
+    """Runs of at most so many windows: the run each is of, windows of that before it, windows."""
+    parts = -(-length // most)
+    run, at = np.repeat(np.arange(len(length)), parts), ranges(np.zeros(len(parts), np.int64), parts) * most
+    return run, at, np.minimum(length[run] - at, most)
+
+
 def minimiser_runs(buf: np.ndarray, off: np.ndarray, n_buckets: int = 1, hot: np.ndarray | None = None):
     """Runs of windows with one minimiser: document, start in it, windows, minimiser (top bit: hot), whether the
     minimiser stands twice in the run (as in periodic text, which may repeat itself).
@@ -101,9 +112,8 @@ def minimiser_runs(buf: np.ndarray, off: np.ndarray, n_buckets: int = 1, hot: np
         run = np.maximum(np.searchsorted(starts, leaves, "right") - 1, 0)
         twice[run[leaves < ends[run]]] = True
     if len(length) and length.max() > MAX_RUN:  # periodic text
-        parts = (length + MAX_RUN - 1) // MAX_RUN
-        piece = ranges(np.zeros(len(parts), np.int64), parts)
-        starts, doc, smallest, twice, length = np.repeat(starts, parts) + piece * MAX_RUN, np.repeat(doc, parts), np.repeat(smallest, parts), np.repeat(twice, parts), np.minimum(np.repeat(length, parts) - piece * MAX_RUN, MAX_RUN)
+        run, at, length = shorter_runs(length, MAX_RUN)
+        starts, doc, smallest, twice = starts[run] + at, doc[run], smallest[run], twice[run]
     return doc, starts - off[doc], length, smallest, twice
 
 
@@ -407,7 +417,7 @@ def _cut(n_buckets: int, n_groups: int, hot: np.ndarray, doc_id: str, text: str)
                 is_hot = np.isin(key, hot)
                 if is_hot.any():
                     size = length[is_hot] + LENGTH - 1
-                    part, ends = buf[ranges(off[at_row[is_hot]] + start[is_hot], size)], np.concatenate([[0], np.cumsum(size)])
+                    part, ends = gather(buf, off[at_row[is_hot]] + start[is_hot], size), np.concatenate([[0], np.cumsum(size)])
                     held = []
                     for i, j in slices(ends, 1 << 17):
                         n, s, r, m, _ = minimiser_runs(part[ends[i] : ends[j]], ends[i : j + 1] - ends[i], n_buckets, hot)
@@ -417,14 +427,14 @@ def _cut(n_buckets: int, n_groups: int, hot: np.ndarray, doc_id: str, text: str)
                     key, length = np.concatenate([key[~is_hot], k]), np.concatenate([length[~is_hot], r])
             if len(key):
                 size = length + LENGTH - 1
-                data, place = buf[ranges(off[at_row] + start, size)], row[at_row] << _ROW | start
+                data, place = gather(buf, off[at_row] + start, size), row[at_row] << _ROW | start
                 begins = np.cumsum(size) - size
                 stay, gone = _collapse(data, begins, length, key, ids[at_row], place)
                 bucket = ((key & U(2**62 - 1)) >> U(31)).astype(np.int64)
                 # The bytes of a bucket's strings stand one after another in its row.
                 order = stay[np.argsort(bucket[stay], kind="stable")]
                 some = _partial(_STRINGS, ["key", "id", "at", "run"], bucket[order], key=key[order], id=ids[at_row[order]], at=place[order], run=length[order].astype(np.uint8))
-                blob = data[ranges(begins[order], size[order])]
+                blob = gather(data, begins[order], size[order])
                 per_row = np.concatenate([[0], np.cumsum(size[order])])
                 cut = np.concatenate([[0], np.cumsum(np.unique(bucket[order], return_counts=True)[1])])
                 bytes_column = pa.Array.from_buffers(pa.binary(), some.num_rows, [None, pa.py_buffer(per_row[cut].astype(np.int32)), pa.py_buffer(blob.tobytes())])
@@ -464,6 +474,67 @@ def _may_repeat(data: np.ndarray, starts: np.ndarray, runs: np.ndarray):
     return owner[begin], index[begin] - (starts - bounds[0])[owner[begin]], end - begin
 
 
+def _finer_runs(data: np.ndarray, starts: np.ndarray, runs: np.ndarray, size: int):
+    """Runs of windows with one least hash of their substrings of ``size`` bytes: string, offset, windows, hash."""
+    bounds = np.append(starts, starts[-1] + runs[-1] + LENGTH - 1)
+    held = []
+    for i, j in slices(bounds, 1 << 17):
+        h = gram_hashes(data[bounds[i] : bounds[j]])
+        n = len(h) - (size - GRAM)
+        wide = h[:n].copy()
+        for at in (*range(GRAM, size - GRAM, GRAM), size - GRAM):
+            wide *= U(0x9E3779B97F4A7C15)
+            wide += h[at : at + n]
+        first = starts[i:j] - bounds[i]
+        index, owner = ranges(first, runs[i:j]), np.repeat(np.arange(j - i), runs[i:j])
+        least = window_minima(mix(wide), LENGTH - size + 1)[index]
+        new = np.ones(len(index), bool)
+        if size < LENGTH:  # whole windows stay single
+            new[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
+        begin = np.flatnonzero(new)
+        held.append((owner[begin] + i, index[begin] - first[owner[begin]], np.diff(np.append(begin, len(index))), least[begin]))
+    return (np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _groups(key: np.ndarray):
+    """Bounds of parts of at most BUILD of the sorted keys, or of a key that has more; equal keys stay together."""
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    i = 0
+    while i < len(key):
+        j = int(ends[max(np.searchsorted(ends, i + BUILD, "right") - 1, np.searchsorted(ends, i, "right"))])
+        yield i, j
+        i = j
+
+
+def bounded_parts(data: np.ndarray, starts: np.ndarray, runs: np.ndarray, finer: tuple = FINER):
+    """Parts of the strings' windows, of at most BUILD strings: string, offset, windows.  Of equal windows each but the
+    first is in a part with the first.
+
+    The strings, one after another in ``data``, are in the order of their places.
+    """
+    if len(starts) <= BUILD:
+        yield np.arange(len(starts)), np.zeros(len(starts), np.int64), runs
+    elif finer:
+        string, offset, run, least = _finer_runs(data, starts, runs, finer[0])
+        order = np.argsort(least, kind="stable")
+        for i, j in _groups(least[order]):
+            s, o, r = (x[order[i:j]] for x in (string, offset, run))
+            if j - i <= BUILD:
+                yield s, o, r
+                continue
+            length = r + LENGTH - 1
+            for t, p, r in bounded_parts(gather(data, starts[s] + o, length), np.cumsum(length) - length, r, finer[1:]):  # noqa: B020
+                yield s[t], o[t] + p, r
+    else:  # single windows with one hash: nearly always all equal
+        windows, left = data.reshape(-1, LENGTH), np.arange(len(starts))
+        while len(left):
+            same = (windows[left] == windows[left[0]]).all(axis=1)
+            equal, left = left[same], left[~same]
+            for i in range(1, len(equal), BUILD - 1):
+                part = np.append(equal[0], equal[i : i + BUILD - 1])
+                yield part, np.zeros(len(part), np.int64), runs[part]
+
+
 def repeated_windows(data, starts, runs, rank):
     """Windows that an earlier equal window makes superfluous, from the transform of the strings: string, offset.
 
@@ -496,34 +567,38 @@ def _find(n_groups: int):
             stay, drop = _collapse(data, begins, runs, key, ids, at)
             gone.append((ids[drop], at[drop], size[drop].astype(np.int32)))
             stay = stay[np.lexsort((at[stay], ids[stay], key[stay]))]
-            # A construction takes whole minimisers.
-            ends = np.append(np.flatnonzero(key[stay][1:] != key[stay][:-1]) + 1, len(stay))
-            i = 0
-            while i < len(stay):
-                j = int(ends[max(np.searchsorted(ends, i + BUILD, "right") - 1, np.searchsorted(ends, i, "right"))])
-                part = stay[i:j]
-                i = j
-                content, run = data[ranges(begins[part], size[part])], runs[part]
-                first = np.cumsum(size[part]) - size[part]
-                string, offset, run = _may_repeat(content, first, run)
-                if not len(string):
-                    continue
-                length = run + LENGTH - 1
-                content = content[ranges(first[string] + offset, length)]
-                rank = np.argsort(np.lexsort((at[part[string]] + offset, ids[part[string]])), kind="stable")
-                s, p = repeated_windows(content, np.cumsum(length) - length, run, rank)
-                order = np.lexsort((p, s))
-                s, p = s[order], p[order]
-                new = np.ones(len(s), bool)
-                new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)
-                begin = np.flatnonzero(new)
-                count = np.diff(np.append(begin, len(s)))
-                s, p = s[begin], p[begin]
-                gone.append((ids[part[string[s]]], at[part[string[s]]] + offset[s] + p, (count + LENGTH - 1).astype(np.int32)))
+            # A construction takes whole minimisers, or a part of one that has too many strings.
+            for i, j in _groups(key[stay]):
+                gone.extend(removed(stay[i:j], data, begins, runs, ids, at))
         ids, at, n = (np.concatenate(x) for x in zip(*gone, strict=True))
         out = blob_batch(_spread(ids, n_groups), _GONE, id=ids, at=at, n=n)
         return pa.Table.from_batches([] if out is None else [out], _GONE)
 
+    def removed(part, data, begins, runs, ids, at):
+        size = runs[part] + LENGTH - 1
+        whole, first = gather(data, begins[part], size), np.cumsum(size) - size
+        for owner, begin, run in bounded_parts(whole, first, runs[part]):
+            size = run + LENGTH - 1
+            content, place, at_start = gather(whole, first[owner] + begin, size), at[part[owner]] + begin, np.cumsum(size) - size
+            string, offset, run = _may_repeat(content, at_start, run)
+            if not len(string):
+                continue
+            piece, more, run = shorter_runs(run, SPAN)
+            string, offset = string[piece], offset[piece] + more
+            length = run + LENGTH - 1
+            content = gather(content, at_start[string] + offset, length)
+            whose, place = ids[part[owner[string]]], place[string] + offset
+            rank = np.argsort(np.lexsort((place, whose)), kind="stable")
+            s, p = repeated_windows(content, np.cumsum(length) - length, run, rank)
+            order = np.lexsort((p, s))
+            s, p = s[order], p[order]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (p[1:] != p[:-1] + 1)
+            begin = np.flatnonzero(new)
+            count = np.diff(np.append(begin, len(s)))
+            s, p = s[begin], p[begin]
+            yield whose[s], place[s] + p, (count + LENGTH - 1).astype(np.int32)
+
     return run
 
 
@@ -593,8 +668,9 @@ def _removals(docs: DataFrame, doc_id: str, text: str):
     """The bytes to remove, packed by group of documents, and the number of groups."""
     spark = docs.sparkSession
     prepare(spark)
-    n_buckets, n_groups = buckets(spark), buckets(spark, 4)  # a group's texts are at hand at once
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_of(F.col(text)).alias("text"))
+    n_groups = buckets_for(rows, "text", GROUP, 4)  # a group's texts are at hand at once
+    n_buckets = n_groups // 2
     asked = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_ask(n_buckets), "bucket long, asked binary, ask_id binary, ask_start binary, ask_run binary, many binary, many_n binary, sure binary, sure_id binary, sure_start binary, sure_run binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer(n_groups), "bucket long, key binary, id binary, start binary, run binary, hot binary, hot_n binary, strings long")
     answered = stored(answered, "minimisers")

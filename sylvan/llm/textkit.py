@@ -143,6 +143,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - shift, lengths) + np.arange(total)
 
 
+def gather(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of the spans one after another; their positions, eight times as large, are at hand for a part only."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(int(ends[-1]), buf.dtype)
+    for i, j in slices(ends, 1 << 18):
+        out[ends[i] : ends[j]] = buf[ranges(starts[i:j], sizes[i:j])]
+    return out
+
+
 def blob_batch(bucket: np.ndarray, schema: pa.Schema, **columns: np.ndarray):
     """One row for each bucket that occurs, holding the bytes of its values of every column, in their order."""
     if not len(bucket):

@@ -145,6 +145,39 @@ def test_hot_minimisers_are_split_without_loss(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:5] for r in suffix.repeated_bytes(table(spark, rows)).collect()} == brute_repeats(rows)
 
 
+def repeating_strings():
+    """Texts of 100 to 354 bytes that share passages with each other and within themselves."""
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcd ") for _ in range(500))
+    texts = [base[i : i + rng.randint(100, 300)] for i in (rng.randrange(200) for _ in range(60))]
+    texts += [t[:150] + "x" + t[150:] for t in texts[:20]] + [base[100:240] + "".join(rng.choice("efg") for _ in range(60)) for _ in range(20)]
+    return [t for t in texts if len(t) >= 100] + ["a" * 300, "b" + "a" * 150, "ab" * 100, "ab" * 60 + "b" * 120]
+
+
+def test_a_minimiser_with_many_strings_is_divided_without_loss(monkeypatch):
+    monkeypatch.setattr(suffix, "BUILD", 7)
+    sizes, plain = [], suffix.ColumnBuilder.__init__
+    monkeypatch.setattr(suffix.ColumnBuilder, "__init__", lambda self, data, starts, lengths, *a, **k: sizes.append((len(starts), lengths.max())) or plain(self, data, starts, lengths, *a, **k))
+    rows = list(enumerate(repeating_strings()))
+    ids, runs = np.arange(len(rows)), np.array([len(t) - 99 for _, t in rows], np.uint8)
+    binary = {"key": np.full(len(rows), 9, np.uint64), "id": ids, "at": np.zeros(len(rows), np.int64), "run": runs}
+    row = {"bucket": [0], **{k: [v.tobytes()] for k, v in binary.items()}, "bytes": ["".join(t for _, t in rows).encode()], "gone_id": [None], "gone_at": [None], "gone_n": [None]}
+    found = suffix._find(1)(pa.table(row, schema=suffix._STRINGS))
+    got = {i: bytearray(len(t)) for i, t in rows}
+    for i, at, n in zip(*(textkit.join_blobs(found[c], d).tolist() for c, d in (("id", np.int64), ("at", np.int64), ("n", np.int32))), strict=True):
+        got[i][at : at + n] = b"\1" * n
+    assert got == brute_marks(rows)
+    assert max(n for n, _ in sizes) <= 4 * 7 and max(size for _, size in sizes) <= suffix.SPAN + 99
+
+
+def test_suffix_groups_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "GROUP", 1000)
+    rows = [(i, t * (1 + i % 3)) for i, t in enumerate(repeating_strings())]
+    gone, n_groups = suffix._removals(table(spark, rows), "doc_id", "text")
+    assert n_groups >= sum(len(t) for _, t in rows) / 1000
+    assert {r[0]: tuple(r)[1:5] for r in suffix.repeated_bytes(table(spark, rows)).collect()} == brute_repeats(rows)
+
+
 def test_jaccard_join(spark):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(60)]
