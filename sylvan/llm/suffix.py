@@ -41,6 +41,8 @@ BUILD = 2_000
 FINER = (64, 80, 96, LENGTH)
 #: Most bytes of texts in a group on average.
 GROUP = 8 << 20
+#: Bytes of texts, or one text, that masks are made for at a time.
+APPLY = 1 << 18
 MAX_RUN = 255
 #: Bytes of a symbol in a construction; LENGTH is a multiple.
 WIDTH = 5
@@ -622,7 +624,7 @@ def _apply(doc_id: str, text: str, names: list[str], schema: pa.Schema, whole_ch
             order = np.argsort(which, kind="stable")
             which, begin, n = which[order], begin[order], n[order]
         parts = []
-        for i, j in slices(off, 1 << 21):  # the masks take many times the bytes of the texts
+        for i, j in slices(off, APPLY):  # the masks take many times the bytes of the texts
             a, b = np.searchsorted(which, [i, j])
             parts.append(part(docs.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i], which[a:b] - i, begin[a:b], n[a:b]))
         return pa.concat_tables(parts)

@@ -1,5 +1,8 @@
 import collections
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from sylvan.llm import exact, jaccard, suffix
 
@@ -44,6 +47,27 @@ def test_the_whole_pipeline_and_its_suffix_stage(spark, tmp_path):
     assert set(whole) == set(range(22)) - {20} and all(whole[r.doc_id] == r.doc_tokens for r in packed)
 
 
+def test_the_suffix_stage_holds_masks_of_few_bytes(monkeypatch):
+    sizes, plain = [], np.cumsum
+    texts = ["é" * 40 + chr(97 + i % 26) * 120 for i in range(500)]
+    docs = pa.table({"doc_id": np.arange(500), "text": texts})
+    gone = {"bucket": [0], "id": [np.arange(500).tobytes()], "at": [np.full(500, 81, np.int64).tobytes()], "n": [np.full(500, 100, np.int32).tobytes()]}
+    monkeypatch.setattr(suffix, "APPLY", 2000)
+    monkeypatch.setattr(np, "cumsum", lambda x, *a, **k: sizes.append(len(x)) or plain(x, *a, **k))
+    out = suffix._apply("doc_id", "text", docs.column_names, docs.schema, True)(docs, pa.table(gone, schema=suffix._GONE))
+    assert out["text"].to_pylist() == [t[:41] + t[141:] for t in texts] and max(sizes) <= 2000
+
+
+def test_the_suffix_stage_with_groups_of_few_bytes(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(100)
+    want = sorted(map(tuple, corpus_pipeline.unrepeated(spark, docs, sf).collect()))
+    groups, plain = [], suffix._cut
+    monkeypatch.setattr(suffix, "GROUP", 5000)
+    monkeypatch.setattr(suffix, "_cut", lambda n_buckets, n_groups, *a: groups.append(n_groups) or plain(n_buckets, n_groups, *a))
+    assert sorted(map(tuple, corpus_pipeline.unrepeated(spark, docs, sf).collect())) == want
+    assert groups[0] >= sum(len(r[1].encode()) for r in docs.select("doc_id", "text").collect()) / 5000
+
+
 def test_registered_queries_match_their_sql(spark, sf):
     from sylvan.llm import entries
 
