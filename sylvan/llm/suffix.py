@@ -6,7 +6,8 @@ substrings; equal windows have equal minimisers, so a window whose minimiser occ
 repeat.  Windows with a repeated minimiser are grouped into short strings (a run of windows with one
 minimiser), sent to the bucket of that minimiser, and there the transform and common prefixes of all different
 strings are built column by column: each round inserts one symbol per string by two sequential passes over
-external files.  Suffixes whose common prefix reaches 100 bytes are equal windows.
+external files.  Suffixes whose common prefix reaches 100 bytes are equal windows.  A minimiser with more strings than one
+construction takes is divided by longer substrings of its windows, so memory does not grow with it.
 
 Hot passages: where a task holds more than ``COPIES`` equal strings, one stands for them before the shuffle, so
 a passage in a third of all documents reaches its bucket once for each group of documents; minimisers that occur very often rank last when
