@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import readings
 from .readings import Val
 
 TYPE = T.StructType([T.StructField("value", T.DoubleType()), T.StructField("base", T.StringType()), T.StructField("written", T.DoubleType()), T.StructField("unit", T.StringType())])
@@ -42,10 +45,34 @@ def _known() -> list[str]:
     return simple
 
 
-def _table(pick: int) -> Column:
-    """Unit to base (0) or factor (1), as a constant that folds to one literal map."""
-    units = {u: unit(u)[pick] for u in _known()}
-    return F.from_json(F.lit(json.dumps(units)), f"map<string,{'double' if pick else 'string'}>")
+_SLOTS = 512
+
+
+def once(c: Column, f) -> Column:
+    """``f`` of the value of ``c``, worked out once a row: a column is planned again wherever it is read."""
+    return F.transform(F.array(c), f)[0]
+
+
+def both(a: Val, b: Val, f) -> Column:
+    """``f`` of two quantities' structs, each worked out once; constants stay constants."""
+    if a.literal:
+        return f(a.col, b.col) if b.literal else once(b.col, lambda y: f(a.col, y))
+    return once(a.col, lambda x: f(x, b.col)) if b.literal else once(F.struct(a.col.alias("a"), b.col.alias("b")), lambda p: f(p["a"], p["b"]))
+
+
+@cache
+def _slots() -> str:
+    slots: list[dict] = [{} for _ in range(_SLOTS)]
+    for u in _known():
+        base, factor = unit(u)
+        slots[zlib.crc32(u.encode()) % _SLOTS][u] = {"factor": factor, "base": base}
+    return json.dumps(slots)
+
+
+def _lookup(name: Column) -> Column:
+    """Factor and base of a simple unit.  A map is searched key by key, so the units are dealt to small maps by a hash; all fold to one literal."""
+    slots = F.from_json(F.lit(_slots()), "array<map<string,struct<factor:double,base:string>>>")
+    return slots[(F.crc32(name) % _SLOTS).cast("int")][name]
 
 
 def parse_literal(text: str) -> Val | None:
@@ -63,15 +90,20 @@ def is_quantity(v: Val) -> bool:
 
 def parse(c: Column) -> Column:
     """Text such as ``5km`` or ``90 km/h`` as a quantity; null where it is none."""
-    pattern = r"^\s*([+-]?\d+(?:\.\d+)?)\s*([A-Za-zµ]+)(?:/([A-Za-zµ]+))?\s*$"
-    n, top, bottom = (F.regexp_extract(c, pattern, k) for k in (1, 2, 3))
-    factor, base = _table(1), _table(0)
-    n = F.when(n != "", n.try_cast("double"))
-    f = factor[top] / F.when(bottom != "", factor[bottom]).otherwise(F.lit(1.0))
-    b = F.when(bottom != "", F.concat(base[top], F.lit("/"), base[bottom])).otherwise(base[top])
-    name = F.when(bottom != "", F.concat(top, F.lit("/"), bottom)).otherwise(top)
-    whole = F.struct((n * f).alias("value"), b.alias("base"), n.alias("written"), name.alias("unit"))
-    return F.when(n.isNotNull() & f.isNotNull(), whole)
+    pattern = r"^\s*([+-]?\d+(?:\.\d+)?)\s*([A-Za-zµ]+(?:/[A-Za-zµ]+)?)\s*$"
+
+    def scaled(n: Column, name: Column, u: Column) -> Column:
+        value = n * u["factor"]
+        return F.when(value.isNotNull(), F.struct(value.alias("value"), u["base"].alias("base"), n.alias("written"), name.alias("unit")))
+
+    def read(w: Column) -> Column:
+        sides = F.struct(*(_lookup(F.substring_index(w["name"], "/", k)).alias(side) for k, side in ((1, "top"), (-1, "bottom"))))
+        compound = once(sides, lambda u: F.struct((u["top"]["factor"] / u["bottom"]["factor"]).alias("factor"), F.concat(u["top"]["base"], F.lit("/"), u["bottom"]["base"]).alias("base")))
+        n = F.when(w["n"] != "", w["n"].try_cast("double"))
+        return once(F.struct(n.alias("n"), F.when(F.contains(w["name"], F.lit("/")), compound).otherwise(_lookup(w["name"])).alias("u")), lambda r: scaled(r["n"], w["name"], r["u"]))
+
+    words = lambda t: F.struct(F.regexp_extract(t, pattern, 1).alias("n"), F.regexp_extract(t, pattern, 2).alias("name"))
+    return once(once(c, words), read)
 
 
 def convert(q: Column, name: str) -> Column:
@@ -81,6 +113,16 @@ def convert(q: Column, name: str) -> Column:
     return F.when(q["base"] == found[0], F.struct(q["value"].alias("value"), q["base"].alias("base"), (q["value"] / found[1]).alias("written"), F.lit(name).alias("unit")))
 
 
+def equal(a: Val, b: Val) -> Column:
+    return both(a, b, lambda x, y: F.coalesce((x["base"] == y["base"]) & (x["value"] == y["value"]), F.lit(False)))
+
+
+def less(op: str, a: Val, b: Val) -> Column:
+    """Order of quantities with the same base; any other pair is false."""
+    number = lambda q: Val(q["value"], T.DoubleType())
+    return both(a, b, lambda x, y: F.coalesce(x["base"] == y["base"], F.lit(False)) & readings.less(op, number(x), number(y)))
+
+
 def arithmetic(op: str, a: Val, b: Val) -> Val:
     """Same base for sums, numbers for products; anything else is null."""
     none = Val(F.lit(None).cast(TYPE), TYPE)

@@ -412,14 +412,14 @@ class Compiler(Hops, Patterns):
         b = rest[0]
         if e.op in ("=", "!="):
             if quantity.is_quantity(a) or quantity.is_quantity(b):
-                same = F.coalesce((a.col["base"] == b.col["base"]) & (a.col["value"] == b.col["value"]), F.lit(False)) if quantity.is_quantity(a) and quantity.is_quantity(b) else F.lit(False)
+                same = quantity.equal(a, b) if quantity.is_quantity(a) and quantity.is_quantity(b) else F.lit(False)
             else:
                 same = equal(a, b)
             return st, Val(same if e.op == "=" else ~same, BOOL)
         if e.op in ("<", "<=", ">", ">="):
             if quantity.is_quantity(a) or quantity.is_quantity(b):
                 a, b = (v if quantity.is_quantity(v) else Val(quantity.parse(scalars.show(v)), quantity.TYPE) for v in (a, b))
-                return st, Val(F.coalesce(a.col["base"] == b.col["base"], F.lit(False)) & less(e.op, Val(a.col["value"], DOUBLE), Val(b.col["value"], DOUBLE)), BOOL)
+                return st, Val(quantity.less(e.op, a, b), BOOL)
             return st, Val(less(e.op, a, b), BOOL)
         if e.op == "*=":
             return st, Val(F.coalesce(F.contains(scalars.show(a) if not a.text else a.col, scalars.show(b) if not b.text else b.col), F.lit(False)), BOOL)
