@@ -110,7 +110,7 @@ def convert(q: Column, name: str) -> Column:
     found = unit(name)
     if found is None:
         raise ValueError(f"unknown unit {name!r}")
-    return F.when(q["base"] == found[0], F.struct(q["value"].alias("value"), q["base"].alias("base"), (q["value"] / found[1]).alias("written"), F.lit(name).alias("unit")))
+    return once(q, lambda x: F.when(x["base"] == found[0], F.struct(x["value"].alias("value"), x["base"].alias("base"), (x["value"] / found[1]).alias("written"), F.lit(name).alias("unit"))))
 
 
 def equal(a: Val, b: Val) -> Column:
@@ -126,13 +126,14 @@ def less(op: str, a: Val, b: Val) -> Column:
 def arithmetic(op: str, a: Val, b: Val) -> Val:
     """Same base for sums, numbers for products; anything else is null."""
     none = Val(F.lit(None).cast(TYPE), TYPE)
-    scale = lambda q, f: F.struct((q["value"] * f).alias("value"), q["base"].alias("base"), (q["written"] * f).alias("written"), q["unit"].alias("unit"))
+    scale = lambda q, f: once(q, lambda x: F.struct((x["value"] * f).alias("value"), x["base"].alias("base"), (x["written"] * f).alias("written"), x["unit"].alias("unit")))
+
+    def total(x: Column, y: Column) -> Column:
+        value = x["value"] + y["value"] * (1.0 if op == "+" else -1.0)
+        return F.when(x["base"] == y["base"], F.struct(value.alias("value"), x["base"].alias("base"), (value * x["written"] / x["value"]).alias("written"), x["unit"].alias("unit")))
+
     if is_quantity(a) and is_quantity(b):
-        if op not in "+-":
-            return none
-        sign = 1.0 if op == "+" else -1.0
-        total = a.col["value"] + b.col["value"] * sign
-        return Val(F.when(a.col["base"] == b.col["base"], F.struct(total.alias("value"), a.col["base"].alias("base"), (total * a.col["written"] / a.col["value"]).alias("written"), a.col["unit"].alias("unit"))), TYPE)
+        return Val(both(a, b, total), TYPE) if op in "+-" else none
     if is_quantity(a) and b.numeric and op in ("*", "div"):
         return Val(scale(a.col, b.col.cast("double") if op == "*" else 1 / b.col.cast("double")), TYPE)
     if is_quantity(b) and a.numeric and op == "*":
@@ -141,5 +142,5 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
 
 
 def show(q: Column) -> Column:
-    n = q["written"]
-    return F.concat(F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string")), q["unit"])
+    written = lambda n: F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string"))
+    return once(q, lambda x: F.concat(written(x["written"]), x["unit"]))

@@ -12,17 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+#: The same with all of the text as its match.
+_NUMBER_TEXT = _NUMBER + "(?s:.*)"
 _INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
 
 
 @dataclass(frozen=True)
 class Val:
-    """A Column with its type; ``literal`` marks a constant, ``unit`` a quantity's base unit."""
+    """A Column with its type; ``literal`` marks a constant, ``unit`` a quantity's base unit, ``costly`` a text to refer to once."""
 
     col: Column
     type: T.DataType
     literal: bool = False
     value: object = None
+    costly: bool = False
 
     @property
     def numeric(self) -> bool:
@@ -77,6 +80,8 @@ def number(v: Val) -> Column | None:
             except ValueError:
                 return None
         trimmed = F.trim(v.col)
+        if v.costly:
+            return F.get(F.regexp_extract_all(trimmed, F.lit(_NUMBER_TEXT), F.lit(0)), F.lit(0)).try_cast("double")
         return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
     return None
 

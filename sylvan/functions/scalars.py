@@ -35,7 +35,7 @@ def show(v: Val):
 
 
 def _text(f, kind=STRING):
-    return lambda v, a: Val(f(F.coalesce(show(v), F.lit(""))), kind)
+    return lambda v, a: Val(f(F.coalesce(show(v), F.lit(""))), kind, costly=quantity.is_quantity(v))
 
 
 def _constant(a, k, what, default=None):
@@ -66,9 +66,10 @@ def _round(v, a):
 
 
 def _written(f, v, a):
-    q, places = v.col, int(a[0].value) if a else 0
-    n = f(q["written"], places) if places else f(q["written"]).cast("double")
-    return Val(F.struct((n * q["value"] / q["written"]).alias("value"), q["base"].alias("base"), n.cast("double").alias("written"), q["unit"].alias("unit")), quantity.TYPE)
+    places = int(a[0].value) if a else 0
+    amount = lambda q: f(q["written"], places) if places else f(q["written"]).cast("double")
+    rounded = lambda q: F.struct((amount(q) * q["value"] / q["written"]).alias("value"), q["base"].alias("base"), amount(q).cast("double").alias("written"), q["unit"].alias("unit"))
+    return Val(quantity.once(v.col, rounded), quantity.TYPE)
 
 
 def _whole(f):
@@ -139,9 +140,11 @@ def _substitute(v, pattern: str, replacement: str, flags: str) -> Val:
     c = F.coalesce(show(v), F.lit(""))
     p = ("(?i)" if "i" in flags else "") + pattern
     replacement = re.sub(r"\$\{(\d+)\}", r"$\1", replacement)
+    costly = quantity.is_quantity(v) or v.costly
     if "g" in flags:
-        return Val(F.regexp_replace(c, p, replacement), STRING)
-    return Val(_first_only(c, p, replacement), STRING)
+        return Val(F.regexp_replace(c, p, replacement), STRING, costly=costly)
+    first = lambda x: _first_only(x, p, replacement)
+    return Val(quantity.once(c, first) if costly else first(c), STRING, costly=costly)
 
 
 def _first_only(c, pattern: str, replacement: str):

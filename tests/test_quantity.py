@@ -4,10 +4,11 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvan import queries as own
-from sylvan.functions import quantity
-from sylvan.functions.readings import Val
+from sylvan.functions import quantity, scalars
+from sylvan.functions.readings import Val, number
 
 from .conftest import SF
 
@@ -44,3 +45,23 @@ def test_comparisons_of_quantities(spark):
     a, b = (Val(quantity.parse(F.col(c)), quantity.TYPE) for c in ("a", "b"))
     rows = df.select(quantity.less(">", a, b).alias("more"), quantity.equal(a, b).alias("same"), quantity.less("<", a, quantity.parse_literal("20cm")).alias("short")).collect()
     assert [tuple(r) for r in rows] == [(True, False, False), (False, True, False), (False, False, False), (False, False, False), (False, False, True)]
+
+
+def test_a_conversion_parses_a_text_once(spark):
+    assert plan(own.queries()["q2_quantities"](spark, SF)).count("regexp_extract(") == 2
+
+
+def test_functions_of_quantities(spark):
+    df = spark.createDataFrame([("5 in",), ("1.5ft",), ("2 kg",), (None,)], "t string")
+    q = Val(quantity.parse(F.col("t")), quantity.TYPE)
+    cm = Val(quantity.convert(q.col, "cm"), quantity.TYPE)
+    text = scalars.substitute(cm, "[^0-9.]", "", "g")
+    assert [tuple(r) for r in df.select(scalars.show(cm), number(text), scalars.substitute(cm, "[a-z]", "-", "").col, quantity.show(quantity.arithmetic("+", q, quantity.parse_literal("1m")).col)).collect()] == [("12.7cm", 12.7, "12.7-m", "44.37007874015748in"), ("45.720000000000006cm", 45.720000000000006, "45.720000000000006-m", "4.780839895013123ft"), (None, None, "", None), (None, None, "", None)]
+
+
+@pytest.mark.parametrize("text", [None, "", " 5 ", "5\n", "5\u0085", "5 x", "-1.5e3", ".5", "5.", "+", "1e", "5d", "NaN", "Infinity", "0x1", "1 2"])
+def test_a_costly_text_has_the_same_number(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    a, b = (number(Val(F.col("t"), T.StringType(), costly=c)) for c in (False, True))
+    row = df.select(a.alias("a"), b.alias("b")).first()
+    assert row.a == row.b
